@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -29,13 +30,20 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes `df` below the shared folder and reads it back: lineage ends there, and losing an executor costs nothing."""
+def cut(df: DataFrame, free: bool = False) -> DataFrame:
+    """Writes `df` below the shared folder and reads it back: lineage ends there, and losing an executor costs nothing.
+
+    With `free`, the shuffle files that only led there are given back at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if free:  # Spark deletes them once the driver has collected the plans that refer to them
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def _drop(spark: SparkSession, path: str) -> None:

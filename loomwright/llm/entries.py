@@ -11,6 +11,7 @@ from .html_extract import extract_pages
 from .mixing import mix_report, mix_sql
 from .quality import quality_report, quality_sql
 from .sharding import ShardTree, shard_rows
+from .substring import remove_repeats
 from .tokens import count_tokens
 from .url_filter import judge, judge_sql
 
@@ -25,6 +26,10 @@ def op3_html_consensus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op4_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -44,7 +49,7 @@ def op9_bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    ops = [op1_hash_tree_shards, op3_html_consensus_paths, op6_host_reputation, op7_line_first_quality, op8_water_filling_mix, op9_bpe_token_counts]
+    ops = [op1_hash_tree_shards, op3_html_consensus_paths, op4_fixed_block_anchors, op6_host_reputation, op7_line_first_quality, op8_water_filling_mix, op9_bpe_token_counts]
     return {f.__name__: f for f in ops}
 
 
