@@ -12,6 +12,7 @@ from .mixing import mix_report, mix_sql
 from .quality import quality_report, quality_sql
 from .sharding import ShardTree, shard_rows
 from .substring import remove_repeats
+from .suffix_dedup import remove_repeated_bytes
 from .tokens import count_tokens
 from .url_filter import judge, judge_sql
 
@@ -22,6 +23,10 @@ def op1_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"), ShardTree.uniform(2, 2, 2))
 
 
+def op2_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_html_consensus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
@@ -49,7 +54,7 @@ def op9_bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    ops = [op1_hash_tree_shards, op3_html_consensus_paths, op4_fixed_block_anchors, op6_host_reputation, op7_line_first_quality, op8_water_filling_mix, op9_bpe_token_counts]
+    ops = [op1_hash_tree_shards, op2_prefix_free_parsing, op3_html_consensus_paths, op4_fixed_block_anchors, op6_host_reputation, op7_line_first_quality, op8_water_filling_mix, op9_bpe_token_counts]
     return {f.__name__: f for f in ops}
 
 
