@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .html_extract import extract_pages
 from .mixing import mix_report, mix_sql
+from .neardup import near_duplicates
 from .quality import quality_report, quality_sql
 from .sharding import ShardTree, shard_rows
 from .substring import remove_repeats
@@ -35,6 +36,10 @@ def op4_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op5_simhash_small_world(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_texts")
+
+
 def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -54,7 +59,7 @@ def op9_bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    ops = [op1_hash_tree_shards, op2_prefix_free_parsing, op3_html_consensus_paths, op4_fixed_block_anchors, op6_host_reputation, op7_line_first_quality, op8_water_filling_mix, op9_bpe_token_counts]
+    ops = [op1_hash_tree_shards, op2_prefix_free_parsing, op3_html_consensus_paths, op4_fixed_block_anchors, op5_simhash_small_world, op6_host_reputation, op7_line_first_quality, op8_water_filling_mix, op9_bpe_token_counts]
     return {f.__name__: f for f in ops}
 
 

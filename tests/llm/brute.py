@@ -82,3 +82,42 @@ def byte_repeats(rows: list[tuple], size: int = 200) -> list[tuple]:
 
 def order(rows):
     return sorted((tuple(r) for r in rows), key=repr)
+
+
+def shingle_set(text: str | None, k: int = 5) -> frozenset:
+    w = words(text)
+    return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
+
+
+def classes(rows: list[tuple], least: float = 0.8) -> list[tuple]:
+    """Operator 5 by comparing all pairs of distinct shingle sets: (doc_id, class_id)."""
+    sets = {}
+    for r in rows:
+        sets.setdefault(shingle_set(r[1]), []).append(r[0])
+    keys = list(sets)
+    parent = list(range(len(keys)))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    by_shingle: dict[tuple, list[int]] = {}
+    for i, k in enumerate(keys):
+        for s in k:
+            by_shingle.setdefault(s, []).append(i)
+    for i, k in enumerate(keys):
+        common: dict[int, int] = {}
+        for s in k:
+            for j in by_shingle[s]:
+                if j < i:
+                    common[j] = common.get(j, 0) + 1
+        for j, c in common.items():
+            if c >= least * (len(k) + len(keys[j]) - c):
+                parent[root(i)] = root(j)
+    best: dict[int, int | None] = {}
+    for i, k in enumerate(keys):
+        ids = [x for x in [*sets[k], best.get(root(i))] if x is not None]
+        best[root(i)] = min(ids) if ids else None
+    return [(r[0], best[root(keys.index(shingle_set(r[1])))]) for r in rows]
