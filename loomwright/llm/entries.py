@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontam import find_leaks
 from .html_extract import extract_pages
 from .mixing import mix_report, mix_sql
 from .neardup import near_duplicates
@@ -58,8 +59,12 @@ def op9_bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    ops = [op1_hash_tree_shards, op2_prefix_free_parsing, op3_html_consensus_paths, op4_fixed_block_anchors, op5_simhash_small_world, op6_host_reputation, op7_line_first_quality, op8_water_filling_mix, op9_bpe_token_counts]
+    ops = [op1_hash_tree_shards, op2_prefix_free_parsing, op3_html_consensus_paths, op4_fixed_block_anchors, op5_simhash_small_world, op6_host_reputation, op7_line_first_quality, op8_water_filling_mix, op9_bpe_token_counts, op10_simhash_windows]
     return {f.__name__: f for f in ops}
 
 
