@@ -5,18 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from . import engineq, sqlq
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_quantity > 10").select("l_orderkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
+    """A scan of a versioned table: SQL filter, expression projection, order with nulls last, slice."""
+    return engineq.scan_project_expr(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return sqlq.queries() | engineq.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sqlq.oracle_sql() | engineq.oracle_sql()
