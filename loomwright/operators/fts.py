@@ -12,7 +12,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -187,6 +187,15 @@ def _match(index: Index, q: Match) -> DataFrame:
     return out.select(index.key, SCORE)
 
 
+def _places(term: str, i: int) -> Column:
+    """Where a phrase whose word i is the term would start."""
+    return F.filter(F.transform("_t", lambda x, k: F.when(x == term, k - i)), lambda p: p.isNotNull())
+
+
+def _behind(at: Column, ends: Column, slop: int) -> Column:
+    return F.filter(at, lambda p: F.exists(ends, lambda last: (last <= p) & (p <= last + slop)))
+
+
 def _phrase(index: Index, q: Phrase) -> DataFrame:
     """Rows in which the words stand one behind the other, each at most `slop` places late."""
     terms = index.terms(q.text)
@@ -195,13 +204,9 @@ def _phrase(index: Index, q: Phrase) -> DataFrame:
     rows = index.df.filter(F.col(index.column).isNotNull()).select(index.key, index.analyzer.of(index.text).alias("_t"))
     rows = rows.filter(F.size(F.array_except(F.array(*(F.lit(t) for t in terms)), "_t")) == 0)
     # ends: relative places at which the words so far can end
-    ends = None
-    for i, t in enumerate(terms):
-        at = F.filter(F.transform("_t", lambda x, k, t=t, i=i: F.when(x == t, k - i)), lambda p: p.isNotNull())
-        if ends is None:
-            ends = at
-        else:
-            ends = F.filter(at, lambda p, e=ends: F.exists(e, lambda last: (last <= p) & (p <= last + q.slop)))
+    ends = _places(terms[0], 0)
+    for i, t in enumerate(terms[1:], 1):
+        ends = _behind(_places(t, i), ends, q.slop)
     near = rows.filter(F.size(ends) > 0).select(index.key)
     scored = index.score(index.hits(sorted(set(terms)))).groupBy(index.key).agg(F.sum("weight").alias(SCORE))
     return scored.join(near, index.key, "left_semi")

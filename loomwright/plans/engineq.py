@@ -131,14 +131,14 @@ def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[float]]:
 def _knn(metric: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df, q = _vectors(spark, sf_dir)
-        return vector.flat(df, "embedding", q, 20, metric, tie="vec_id").select("vec_id", F.round(DISTANCE, 5).alias("d"))
+        return vector.flat(df, "embedding", q, 20, metric, tie="vec_id").select("vec_id", (F.round(DISTANCE, 5) + 0.0).alias("d"))
 
     run.__name__ = f"knn_{metric}"
     return run
 
 
 for _m, _sql in _METRIC.items():
-    query(f"SELECT vec_id, round({_sql}, 5) AS d FROM embeddings ORDER BY {_sql}, vec_id LIMIT 20")(_knn(_m))
+    query(f"SELECT vec_id, round({_sql}, 5) + 0.0::DOUBLE AS d FROM embeddings ORDER BY {_sql}, vec_id LIMIT 20")(_knn(_m))
 
 
 @query(f"SELECT vec_id, round({_METRIC['l2']}, 5) AS d FROM embeddings WHERE {_METRIC['l2']} >= 1.0 AND {_METRIC['l2']} < 120.0 ORDER BY {_METRIC['l2']}, vec_id LIMIT 50")
