@@ -6,6 +6,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 _STEP2 = (("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"))
@@ -75,7 +76,7 @@ def stem(w: str) -> str:
     return w[:-1] if _measure(w) > 1 and _double(w) and w[-1] == "l" else w
 
 
-@pandas_udf("array<string>")
+@pandas_udf(T.ArrayType(T.StringType()))
 def _stem_lists(lists: pd.Series) -> pd.Series:
     return lists.map(lambda ts: None if ts is None else [stem(t) for t in ts])
 

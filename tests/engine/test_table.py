@@ -17,7 +17,7 @@ def people(spark, rows):
 
 
 def rows(df):
-    return sorted(tuple(r) for r in df.collect())
+    return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
 def test_write_modes_and_versions(spark, uri):
@@ -43,7 +43,7 @@ def test_merge_insert_rules(spark, uri):
     t = Table.write(people(spark, [("a", 1), ("b", 2), (None, 7)]), uri)
     stats = mutate.MergeInsert(t, "name").when_matched_update_all().execute(people(spark, [("b", 20), ("c", 30), (None, 99)]))
     assert (stats["inserted"], stats["updated"], stats["deleted"]) == (1, 1, 0)
-    assert sorted(rows(t.to_df()), key=repr) == sorted([("a", 1), ("b", 20), ("c", 30), (None, 7)], key=repr)
+    assert rows(t.to_df()) == sorted([("a", 1), ("b", 20), ("c", 30), (None, 7)], key=repr)
     with pytest.raises(TableError, match="ambiguous"):
         mutate.MergeInsert(t, "name").when_matched_update_all().execute(people(spark, [("a", 5), ("a", 6)]))
     with pytest.raises(TableError):
@@ -51,7 +51,7 @@ def test_merge_insert_rules(spark, uri):
     with pytest.raises(TableError):
         mutate.MergeInsert(t, "name").when_not_matched_do_nothing().execute(people(spark, [("a", 5)]))
     mutate.MergeInsert(t, "name").when_not_matched_do_nothing().when_not_matched_by_source_delete().execute(people(spark, [("a", 5)]))
-    assert sorted(rows(t.to_df()), key=repr) == sorted([("a", 1), (None, 7)], key=repr)
+    assert rows(t.to_df()) == sorted([("a", 1), (None, 7)], key=repr)
 
 
 def test_conflicts(spark, uri):
@@ -87,7 +87,7 @@ def test_evolution(spark, uri):
     t = Table.write(people(spark, [("a", 1), ("b", None)]), uri)
     evolve.add_columns(t, {"next": "age + 1"})
     evolve.add_columns(t, {"gap": "cast(null as string)"})
-    assert sorted(rows(t.to_df()), key=repr) == sorted([("a", 1, 2, None), ("b", None, None, None)], key=repr)
+    assert rows(t.to_df()) == sorted([("a", 1, 2, None), ("b", None, None, None)], key=repr)
     evolve.alter_columns(t, {"path": "age", "type": "bigint", "name": "years"})
     assert dict(t.to_df().dtypes)["years"] == "bigint"
     evolve.drop_columns(t, ["next"])
