@@ -73,9 +73,11 @@ class NGram:
 
     def build(self, rows: DataFrame, column: str) -> DataFrame:
         text = F.lower(F.col(column))
-        at = F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1)))
-        grams = F.array_distinct(F.transform(at, lambda i: F.substr(text, i, F.lit(3))))
-        return rows.filter(F.length(text) >= 3).select(ROWID, F.explode(grams).alias("gram")).repartitionByRange("gram").sortWithinPartitions("gram")
+        # characters first: places in a string are found by walking it
+        rows = rows.filter(F.length(text) >= 3).select(ROWID, F.split(text, "").alias("_c"))
+        at = F.sequence(F.lit(0), F.size("_c") - 3)
+        grams = F.array_distinct(F.transform(at, lambda i: F.concat(F.col("_c")[i], F.col("_c")[i + 1], F.col("_c")[i + 2])))
+        return rows.select(ROWID, F.explode(grams).alias("gram")).filter(F.length("gram") == 3).repartitionByRange("gram").sortWithinPartitions("gram")
 
     def lookup(self, sidecar: DataFrame, op: str, value) -> DataFrame | None:
         if op != "contains" or len(value) < 3:

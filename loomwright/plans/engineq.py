@@ -264,9 +264,9 @@ def _text(name: str, q, sql: str) -> None:
     query(f"WITH {_BASE} {sql}")(f)
 
 
-_text("fts_match_or", fts.Match("ting ership"), "SELECT doc_id, round(sum(s), 5) AS score FROM b WHERE term IN ('ting', 'ership') GROUP BY doc_id")
+_text("fts_match_or", fts.Match("haon was"), "SELECT doc_id, round(sum(s), 5) AS score FROM b WHERE term IN ('haon', 'was') GROUP BY doc_id")
 _text("fts_match_and", fts.Match("the of and", operator="and"), "SELECT doc_id, round(sum(s), 5) AS score FROM b WHERE term IN ('the', 'of', 'and') GROUP BY doc_id HAVING count(*) = 3")
-_text("fts_boosted_match", fts.Match("thereth", boost=2.5, fuzziness=0), "SELECT doc_id, round(2.5 * sum(s), 5) AS score FROM b WHERE term = 'thereth' GROUP BY doc_id")
+_text("fts_boosted_match", fts.Match("haon", boost=2.5, fuzziness=0), "SELECT doc_id, round(2.5 * sum(s), 5) AS score FROM b WHERE term = 'haon' GROUP BY doc_id")
 _text("fts_phrase", fts.Phrase("of the"), "SELECT doc_id, round(sum(s), 5) AS score FROM b WHERE term IN ('of', 'the') AND doc_id IN (SELECT doc_id FROM d WHERE len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) > 0) GROUP BY doc_id")
 _text("fts_boost", fts.Boost(fts.Match("the"), fts.Match("of"), 0.3), "SELECT p.doc_id, round(p.s - 0.3 * coalesce(m.s, 0), 5) AS score FROM (SELECT * FROM b WHERE term = 'the') p LEFT JOIN (SELECT * FROM b WHERE term = 'of') m USING (doc_id)")
 _text("fts_boolean", fts.Boolean([fts.Match("the")], [fts.Match("with")], [fts.Match("idiot")]), "SELECT p.doc_id, round(p.s + coalesce(o.s, 0), 5) AS score FROM (SELECT * FROM b WHERE term = 'the') p LEFT JOIN (SELECT * FROM b WHERE term = 'with') o USING (doc_id) WHERE p.doc_id NOT IN (SELECT doc_id FROM b WHERE term = 'idiot')")
@@ -289,12 +289,12 @@ def fts_with_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Scanner(table, columns=["doc_id"], filter="lang = 'de'", prefilter=True, full_text="und der", full_text_columns=["text"], limit=20).to_df().select("doc_id", F.round(SCORE, 5).alias("score"))
 
 
-@query(f"WITH {_BASE} SELECT doc_id, round(sum(s), 5) AS score FROM b WHERE term IN ('ting', 'there') GROUP BY doc_id")
+@query(f"WITH {_BASE} SELECT doc_id, round(sum(s), 5) AS score FROM b WHERE term IN ('the', 'haon') GROUP BY doc_id")
 def fts_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = stored(spark, sf_dir, "documents")
     indices.create_scalar_index(table, "text", "INVERTED")
     rows = table.scan()
-    top = fts.scores(rows, fts.Match("ting there"), ["text"], stored=indices.stored_postings(table, ["text"]))
+    top = fts.scores(rows, fts.Match("the haon"), ["text"], stored=indices.stored_postings(table, ["text"]))
     return rows.join(top, ROWID).select("doc_id", F.round(SCORE, 5).alias("score"))
 
 
