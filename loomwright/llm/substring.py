@@ -117,6 +117,7 @@ def _first_pass(bits: int):
             bucket, rest = _split(h, bits)
             items, least = _shared(h, docs, ids)
             keep = np.ones(len(h), bool)
+            greatest = np.zeros(len(h), bool)
             out = []
             if len(items):
                 first, n = runs(h[items])
@@ -129,6 +130,8 @@ def _first_pass(bits: int):
                 blocks = items[block[items]]
                 drop = items[ids[docs[items]] != least_id]
                 keep[drop] = False
+                # a probe of the greatest id goes on too: the owner of a block is marked by any greater id
+                greatest[items[first + n - 1]] = True
                 # blocks keep the least id among the blocks of a hash
                 if len(blocks):
                     bf = blocks[runs(h[blocks])[0]]
@@ -136,7 +139,7 @@ def _first_pass(bits: int):
                     out += cells(bucket[extra], docs[extra], ids, rest[extra], 0)
             b = np.flatnonzero(block & keep)
             out += cells(bucket[b], docs[b], ids, rest[b], 0)
-            p = np.flatnonzero(keep)
+            p = np.flatnonzero(keep | greatest)
             out += cells(bucket[p], docs[p], ids, rest[p], 1)
             for i in range(0, len(out), 16):
                 yield batch_of(out[i : i + 16])

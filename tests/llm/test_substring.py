@@ -22,6 +22,18 @@ def test_whole_table(spark, sf):
     assert sum(r["n_removed"] for r in got) > 0
 
 
+def test_owner_between_two_documents_of_another_batch(spark):
+    new = (f"w{i}" for i in range(10_000))
+    some = lambda k: [next(new) for _ in range(k)]
+    passage = some(50)
+    texts = [(1, some(7) + passage[15:40] + some(40)), (3, some(5) + passage + some(10)), (2, some(10) + passage + some(15)), (4, some(60))]
+    rows = [(i, " ".join(w), None, None, 0) for i, w in texts]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), brute.SCHEMA)
+    got = remove_repeats(docs).select(COLS).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {1: 0, 2: 0, 3: 50, 4: 0}
+    assert brute.order(got) == brute.order(brute.repeats(rows))
+
+
 def test_empty_table_and_extra_columns(spark):
     docs = spark.createDataFrame([], brute.SCHEMA + ", id long, hits string, bucket int")
     assert remove_repeats(docs).count() == 0
