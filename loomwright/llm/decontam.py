@@ -2,9 +2,10 @@
 
 Words are lower-cased runs of letters, digits and non-ASCII bytes. For every benchmark item, windows of
 its own number of words slide over every text; a window leaks the item when the weighted Jaccard
-similarity of their five-word shingles, each weighing its number of occurrences, is 0.8 or more.
+similarity of their five-word shingles, each weighing its number of occurrences, is 0.8 or more. A text
+shorter than the item is its own one window.
 
-A window of n shingles that reaches the similarity s has at least 2 n s / (1 + s) shingles of the item, so windows with
+A window of m shingles that reaches the similarity s to n has at least (m + n) s / (1 + s) shingles of the item, so windows with
 fewer shingles of any item are passed over at once (a running count; nothing is lost). The others get a
 128-bit SimHash of their weighted shingles, which is looked up in a multi-index: 128 bits in `RADIUS` + 1 blocks,
 so a fingerprint within the radius agrees on one block at least and none is missed. Candidates within
@@ -111,12 +112,17 @@ class Items:
         for n in sorted({len(s) for s in self.shingles if len(s)}):
             of = [i for i, s in enumerate(self.shingles) if len(s) == n]
             self.by_size[n] = of, MultiIndex(np.concatenate([fingerprints(self.shingles[i], np.zeros(1, np.int64), n) for i in of]))
-        self.need = {n: ceil(2 * n * SIMILARITY / (1 + SIMILARITY) - 1e-9) for n in self.by_size}
+        self.least = ceil(min(self.by_size, default=0) * SIMILARITY - 1e-9)
         table = np.unique(np.concatenate(self.shingles)) if self.by_size else np.zeros(0, U)
         self.table = table
         self.map = np.zeros(1 << 20, bool)
         self.map[(table >> U(44)).astype(np.int64)] = True
 
+    @staticmethod
+    def need(size: int, n: int) -> int:
+        """The least number of common shingles with which a window of `size` shingles and an item of n reach the similarity."""
+        return ceil((size + n) * SIMILARITY / (1 + SIMILARITY) - 1e-9)
+
     def known(self, shingles: np.ndarray) -> np.ndarray:
         """Places of shingles that some item has."""
         near = np.flatnonzero(self.map[(shingles >> U(44)).astype(np.int64)])
@@ -136,13 +142,12 @@ class Items:
         known = self.known(grams)
         if not len(known):
             return
-        least = min(self.need.values())
         doc = np.searchsorted(first, known, "right") - 1
         for d in np.unique(doc):
             total = max(0, int(first[d + 1] - first[d]) - SHINGLE + 1)
             mine = known[doc == d] - first[d]
             mine = mine[mine < total]
-            if len(mine) < least:
+            if len(mine) < self.least:
                 continue
             own = grams[first[d] : first[d] + total]
             count = np.zeros(total + 1, np.int64)
@@ -150,17 +155,19 @@ class Items:
             count = np.cumsum(count)
             best: dict[int, tuple[float, int]] = {}
             for n, (of, index) in self.by_size.items():
-                if n > total or len(mine) < self.need[n]:
+                size = min(n, total)
+                need = self.need(size, n)
+                if len(mine) < need:
                     continue
-                starts = np.flatnonzero(count[n:] - count[:-n] >= self.need[n])
+                starts = np.flatnonzero(count[size:] - count[:-size] >= need)
                 for lo in range(0, len(starts), 4096):
                     some = starts[lo : lo + 4096]
                     base = int(some[0])
-                    prints = fingerprints(own[base : int(some[-1]) + n], some - base, n) if int(some[-1]) - base < 65536 else np.concatenate([fingerprints(own[s : s + n], np.zeros(1, np.int64), n) for s in some])
+                    prints = fingerprints(own[base : int(some[-1]) + size], some - base, size) if int(some[-1]) - base < 65536 else np.concatenate([fingerprints(own[s : s + size], np.zeros(1, np.int64), size) for s in some])
                     for s, near in zip(some, index.within(prints)):
                         for k in near:
                             item = of[k]
-                            sim = weighted_jaccard(own[s : s + n], self.shingles[item])
+                            sim = weighted_jaccard(own[s : s + size], self.shingles[item])
                             if sim >= SIMILARITY and (item not in best or sim > best[item][0]):
                                 best[item] = sim, int(s)
             for item, (sim, s) in sorted(best.items()):

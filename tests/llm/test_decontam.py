@@ -54,6 +54,15 @@ def test_equals_brute_force(spark):
     assert brute.order(kept.collect()) == brute.order([r for r in rows if (r[0], r[1]) not in bad])
 
 
+def test_documents_a_few_words_short_of_an_item(spark):
+    words = [f"w{i}" for i in range(30)]
+    rows = [(n, " ".join(words[:n]), None, None, 0) for n in (30, 27, 25, 24, 4)]
+    docs, bench = spark.createDataFrame(rows, brute.SCHEMA), spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    got = sorted(tuple(r) for r in find_leaks(docs, bench).collect())
+    assert got == [(25, 1, round(21 / 26, 6), 0), (27, 1, round(23 / 26, 6), 0), (30, 1, 1.0, 0)]
+    assert sorted(r["doc_id"] for r in decontaminate(docs, bench).collect()) == [4, 24]
+
+
 def test_whole_table(spark, sf):
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     rows, items = [tuple(r) for r in docs.select("doc_id", "text").collect()], [tuple(r) for r in bench.collect()]
