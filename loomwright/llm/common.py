@@ -55,6 +55,15 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def fresh_name(df: DataFrame, base: str) -> str:
+    """A column name that the frame doesn't have, in any case."""
+    have = {c.lower() for c in df.columns}
+    name = f"_{base}"
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
 def word_count(text: Column) -> Column:
     """Number of maximal runs of non-space characters; null text has none."""
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), F.lit(0)).cast("long")

@@ -38,7 +38,7 @@ def op4_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash_small_world(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_texts")
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_texts", "audited_recall")
 
 
 def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
