@@ -1,9 +1,11 @@
 import html
+import random
 import re
+import time
 
 import pytest
 
-from loomwright.llm.html_extract import consensus, extract, extract_pages
+from loomwright.llm.html_extract import DEPTH, blocks, consensus, extract, extract_pages, worths
 from loomwright.llm.url_filter import judge
 
 PAGES = [
@@ -16,6 +18,9 @@ PAGES = [
     ('<script>var x="</p>"</script><div><p>t<!-- c --> u</div><!-- open', "t u"),
     ('<div id="main"><ul><li>one<li>two</ul><table><tr><td>a<td>b</table></div><aside>q</aside>', "one two a b"),
     ('<div class="cookie-notice"><p>we use cookies, a lot of them, on every page</p></div><article><p>short &lt;p&gt; text</p></article>', "short <p> text"),
+    ('<body><p>menu text</p><article><div class="intro"><p>first words</p></div><div class="body"><p>the long rest of the text</p></div></article>', "first words the long rest of the text"),
+    ('<div class="a"><div class="intro"><p>first words here</p></div><div class="text"><p>the long rest of the text</p></div></div>', "first words here the long rest of the text"),
+    ('<p title="a > b">x</p><p title=\'it"s\'>y</p><svg>open<p>z</p>', "x y open z"),
     ("<article><p>kept</p><form><p>name</p></form><style>p{}</style></article>", "kept"),
 ]
 
@@ -59,3 +64,56 @@ def test_rules_and_reputation(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert judge(empty, none).count() == 0
     assert judge(spark.createDataFrame(pages, "page_id long, url string"), none).count() == len(pages)
+
+
+def test_long_pages_take_linear_time():
+    began = time.time()
+    assert blocks("<a '" * 250_000) == []
+    assert blocks("<a \"'>x" * 100_000)
+    assert extract("<div>" * 100_000 + "<p>deep</p>" + "</span></section>" * 100_000, None) == "deep"
+    assert len(extract("<p>word</p>" * 100_000, None)) == 5 * 100_000 - 1
+    assert time.time() - began < 20
+    assert max(p.count("/") for p, *_ in blocks("<div>" * 1000 + "x")) == DEPTH
+
+
+def plain_consensus(pages):
+    """Sums over all pages of a host in one dictionary, and the climb by its definition."""
+    hosts = {}
+    for _, url, text in pages:
+        host = re.sub("[/?#].*", "", (url or "").partition("://")[2]).lower()
+        score, below = worths(blocks(text or ""))
+        mine = hosts.setdefault(host, ({}, {}))
+        for have, new, times in ((mine[0], score, 2), (mine[1], below, 1)):
+            for k, v in new.items():
+                have[k] = have.get(k, 0) + max(0, round(v * times))
+    out = {}
+    for host, (score, below) in hosts.items():
+        if not any(score.values()):
+            continue
+        path = min((-v, k) for k, v in score.items() if v > 0)[1]
+        steps = [path[: m.start()] for m in re.finditer("/", path)][::-1]
+        ways = [path, *(steps or ([""] if path else []))]
+        inside = [w for w in ways if re.search(r"(?:^|/)(?:article|main)(?:[.][^/]*)?$", w)]
+        out[host] = inside[0] if inside else next(w for w in [*ways, ""] if w == "" or below.get(w, 0) >= 0.9 * below.get("", 0))
+    return out
+
+
+def test_consensus_equals_brute_force(spark):
+    r = random.Random(3)
+    rows = []
+    for i in range(120):
+        parts = []
+        for _ in range(r.randint(0, 5)):
+            tag, name = r.choice(["div", "section", "article", "main"]), r.choice(["", "a", "b", "side", "c1"])
+            inner = "".join(f"<{t}><p>{'word ' * r.randint(0, 30)}</p></{t}>" for t in r.choices(["div", "p", "section class=x", "article"], k=r.randint(1, 3)))
+            parts.append(f'<{tag} class="{name}">{inner.replace("</section class=x>", "</section>")}</{tag}>')
+        rows.append((i, r.choice(["http://a.com/", "http://b.org/x", "https://c.net/?q", None, "http://d.de/1"]), r.choice(["".join(parts), "".join(parts), None])))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    assert {x["host"]: x["path"] for x in consensus(df).collect()} == plain_consensus(rows)
+
+
+def test_nulls_repeats_and_clashing_names(spark):
+    rows = [(None, None, None, 1, 2), (1, "http://a.b/c", "<p>x", 3, 4), (1, "http://a.b/c", "<p>x", 3, 4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, _host int, host int")
+    got = sorted((r["page_id"] or 0, r["text"]) for r in extract_pages(df).collect())
+    assert got == [(0, ""), (1, "x"), (1, "x")]
