@@ -7,16 +7,18 @@ shorter than the item is its own one window.
 
 A window of m shingles that reaches the similarity s to n has at least (m + n) s / (1 + s) shingles of the item, so windows with
 fewer shingles of any item are passed over at once (a running count; nothing is lost). The others get a
-128-bit SimHash of their weighted shingles, which is looked up in a multi-index: 128 bits in `RADIUS` + 1 blocks,
-so a fingerprint within the radius agrees on one block at least and none is missed. Candidates within
-the radius are verified by the exact similarity.
+128-bit SimHash of their weighted shingles, which is looked up in a multi-index: the bits form 4 blocks of 32,
+each of two halves. Of two fingerprints within `RADIUS`, the first block differs by a quarter of it at most or another by less than
+that (else all would add up to more), and likewise the block's halves: so a lookup walks the stored halves near its own, keeps what the block
+confirms (under 1 % of unrelated fingerprints), and misses none. Candidates within the radius are verified by the exact similarity.
 
-The benchmark is the stated query set: it is read in blocks of at most `BLOCK_BYTES` of text, and each
-block, of that proven size, goes to all tasks while all documents stream past it.
+The benchmark is the stated query set: it is read in blocks of at most `BLOCK_BYTES` of text (an item that is larger alone
+is a block by itself), and each block, of that proven size, goes to all tasks while all documents stream past it.
 
 Defined results: items of fewer than five words have no shingle and match nothing; null texts have no
 words; a null doc_id or item_id is reported as null; equal items are reported each; repeated documents
-are reported each; empty tables give an empty result; only the named columns are read.
+are reported each; empty tables give an empty result; only the named columns are read, so others may bear any name.
+ids may be of any type that Arrow carries; texts and items may be of any length.
 """
 
 from __future__ import annotations
@@ -26,10 +28,12 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from .common import cut
 from .textvec import Slab, U, mix, slabs, windows
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 32
@@ -50,42 +54,70 @@ def signs(shingles: np.ndarray) -> np.ndarray:
     return np.unpackbits(both, axis=1).astype(np.int32) * 2 - 1
 
 
-def fingerprints(shingles: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    """SimHashes of the windows of n shingles at `starts`; a shingle weighs as often as it occurs."""
-    sums = np.zeros((len(shingles) + 1, 128), np.int32)
-    np.cumsum(signs(shingles), axis=0, out=sums[1:])
-    return np.packbits(sums[starts + n] - sums[starts] >= 0, axis=1).view(U)
+def fingerprints(shingles: np.ndarray, starts: np.ndarray, n: int, step: int = 16384) -> np.ndarray:
+    """SimHashes of the windows of n shingles at `starts` (ascending); a shingle weighs as often as it occurs. Memory is that of `step` shingles, whatever n."""
+    out = np.zeros((len(starts), 2), U)
+    # windows further apart than n shingles are summed anew, others slide
+    groups = np.split(np.arange(len(starts)), np.flatnonzero(np.diff(starts) > n) + 1) if len(starts) else []
+    for group in groups:
+        at, last = int(starts[group[0]]), int(starts[group[-1]])
+        total = np.zeros(128, np.int64)
+        for i in range(at, at + n, step):
+            total += signs(shingles[i : min(i + step, at + n)]).sum(axis=0)
+        out[group[0]] = np.packbits(total >= 0).view(U)
+        for i in range(at, last, step):
+            j = min(i + step, last)
+            sums = total + np.cumsum(signs(shingles[i + n : j + n]) - signs(shingles[i:j]), axis=0, dtype=np.int64)
+            total = sums[-1]
+            mine = group[(starts[group] > i) & (starts[group] <= j)]
+            out[mine] = np.packbits(sums[starts[mine] - i - 1] >= 0, axis=1).view(U)
+    return out
 
 
 class MultiIndex:
-    """Fingerprints by each of RADIUS + 1 blocks of their bits."""
+    """Fingerprints by the halves of four 32-bit blocks."""
+
+    BLOCKS = 4
 
     def __init__(self, prints: np.ndarray):
         self.prints = prints
-        self.edges = [128 * i // (RADIUS + 1) for i in range(RADIUS + 2)]
-        bits = np.unpackbits(prints.view(np.uint8), axis=1)
-        self.tables: list[dict[int, np.ndarray]] = []
-        for a, b in zip(self.edges, self.edges[1:]):
-            value = self._block(bits, a, b)
-            self.tables.append({int(v): np.flatnonzero(value == v) for v in np.unique(value)})
-
-    @staticmethod
-    def _block(bits: np.ndarray, a: int, b: int) -> np.ndarray:
-        return bits[:, a:b] @ (1 << np.arange(b - a))
+        self.halves = np.ascontiguousarray(prints).view(np.uint16).reshape(len(prints), 2 * self.BLOCKS)
+        self.blocks = np.ascontiguousarray(prints).view(np.uint32).reshape(len(prints), self.BLOCKS)
+        self.values = [np.unique(self.halves[:, i], return_inverse=True) for i in range(2 * self.BLOCKS)]
+        self.near: dict[tuple[int, int], np.ndarray] = {}
+        self.held = 0
+        self.radii = [RADIUS // self.BLOCKS - (i > RADIUS % self.BLOCKS) for i in range(self.BLOCKS)]
+
+    def _half(self, i: int, value: int) -> np.ndarray:
+        """The stored fingerprints whose half i is near the value; looked up once per value."""
+        found = self.near.get((i, value))
+        if found is None:
+            r = self.radii[i // 2]
+            values, which = self.values[i]
+            found = np.flatnonzero((np.bitwise_count(values ^ np.uint16(value)) <= r // 2 - (i % 2 > r % 2))[which])
+            if self.held > 4_000_000:  # places, some 32 MB
+                self.near.clear()
+                self.held = 0
+            self.near[i, value] = found
+            self.held += len(found) + 16
+        return found
+
+    def candidates(self, fingerprint: np.ndarray) -> np.ndarray:
+        """The stored fingerprints that agree with one in some block as far as the radius asks for."""
+        halves, blocks = fingerprint.view(np.uint16), fingerprint.view(np.uint32)
+        hit = np.zeros(len(self.prints), bool)
+        for b in range(self.BLOCKS):
+            for i in (2 * b, 2 * b + 1):
+                at = self._half(i, int(halves[i]))
+                hit[at[np.bitwise_count(self.blocks[at, b] ^ blocks[b]) <= self.radii[b]]] = True
+        return np.flatnonzero(hit)
 
     def within(self, prints: np.ndarray) -> list[np.ndarray]:
         """For each fingerprint, all stored ones within the radius."""
-        bits = np.unpackbits(prints.view(np.uint8), axis=1)
-        blocks = [self._block(bits, a, b) for a, b in zip(self.edges, self.edges[1:])]
         out = []
-        for i in range(len(prints)):
-            hit = np.zeros(len(self.prints), bool)
-            for table, block in zip(self.tables, blocks):
-                found = table.get(int(block[i]))
-                if found is not None:
-                    hit[found] = True
-            near = np.flatnonzero(hit)
-            out.append(near[np.bitwise_count(self.prints[near] ^ prints[i]).sum(axis=1, dtype=np.int64) <= RADIUS])
+        for p in prints:
+            near = self.candidates(p)
+            out.append(near[np.bitwise_count(self.prints[near] ^ p).sum(axis=1, dtype=np.int64) <= RADIUS])
         return out
 
 
@@ -162,9 +194,7 @@ class Items:
                 starts = np.flatnonzero(count[size:] - count[:-size] >= need)
                 for lo in range(0, len(starts), 4096):
                     some = starts[lo : lo + 4096]
-                    base = int(some[0])
-                    prints = fingerprints(own[base : int(some[-1]) + size], some - base, size) if int(some[-1]) - base < 65536 else np.concatenate([fingerprints(own[s : s + size], np.zeros(1, np.int64), size) for s in some])
-                    for s, near in zip(some, index.within(prints)):
+                    for s, near in zip(some, index.within(fingerprints(own, some, size))):
                         for k in near:
                             item = of[k]
                             sim = weighted_jaccard(own[s : s + size], self.shingles[item])
@@ -175,21 +205,25 @@ class Items:
 
 
 def blocks_of(benchmark: DataFrame) -> Iterator[Items]:
-    """The benchmark in blocks whose size is checked before they are fetched."""
-    rows = benchmark.select("item_id", "text").withColumn("_size", F.coalesce(F.octet_length("text"), F.lit(0)) + 64)
+    """The benchmark in blocks whose size is bounded before they are fetched."""
+    rows = benchmark.select("item_id", "text").withColumn("_size", (F.coalesce(F.octet_length("text"), F.lit(0)) + 64).cast("long"))
     total = rows.agg(F.sum("_size")).first()[0] or 0
-    n = max(1, -(-2 * total // BLOCK_BYTES))
-    while n > 1 and rows.groupBy(F.pmod(F.xxhash64("item_id", "text"), F.lit(n))).agg(F.sum("_size").alias("s")).agg(F.max("s")).first()[0] > BLOCK_BYTES and n < total:
-        n *= 2
-    for k in range(n if total else 0):
-        got = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
+    if not total:
+        return
+    # running sizes within hash buckets: a block begins where half of BLOCK_BYTES is full
+    bucket = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, total // BLOCK_BYTES)))
+    before = F.sum("_size").over(Window.partitionBy("_bucket").orderBy("_size", "item_id", "text").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_bucket", bucket).withColumn("_block", F.floor(F.coalesce(before, F.lit(0)) / (BLOCK_BYTES // 2)).cast("long"))
+    rows = cut(rows)
+    for b in rows.select("_bucket", "_block").distinct().orderBy("_bucket", "_block").collect():
+        got = rows.filter((F.col("_bucket") == b[0]) & (F.col("_block") == b[1])).orderBy("item_id", "text").collect()
         yield Items([r["item_id"] for r in got], [r["text"] for r in got])
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity, first_word (0-based) of every item that a document leaks."""
     schema = T.StructType([docs.schema["doc_id"], benchmark.schema["item_id"], T.StructField("similarity", T.DoubleType()), T.StructField("first_word", T.LongType())])
-    item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[benchmark.schema["item_id"].dataType.simpleString()]
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
 
     def scan(items: Items):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

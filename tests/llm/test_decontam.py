@@ -3,7 +3,8 @@ from collections import Counter
 
 import numpy as np
 
-from loomwright.llm.decontam import RADIUS, MultiIndex, decontaminate, find_leaks
+from loomwright.llm import decontam
+from loomwright.llm.decontam import RADIUS, MultiIndex, decontaminate, find_leaks, fingerprints
 
 from . import brute
 
@@ -86,3 +87,31 @@ def test_multi_index_misses_nothing_within_the_radius():
             p[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
     truth = [np.flatnonzero(np.bitwise_count(prints ^ p).sum(axis=1) <= RADIUS).tolist() for p in asked]
     assert [x.tolist() for x in MultiIndex(prints).within(asked)] == truth
+
+
+def test_few_unrelated_fingerprints_are_candidates():
+    r = np.random.default_rng(4)
+    index = MultiIndex(r.integers(0, 2**63, (2000, 2), dtype=np.uint64))
+    share = [len(index.candidates(p)) / 2000 for p in r.integers(0, 2**63, (100, 2), dtype=np.uint64)]
+    assert np.mean(share) < 0.02
+
+
+def test_sliding_fingerprints_equal_those_of_each_window():
+    r = np.random.default_rng(5)
+    of = r.integers(0, 2**63, 700, dtype=np.uint64)
+    for n in (1, 7, 100):
+        starts = np.unique(r.integers(0, 700 - n, 90))
+        alone = [fingerprints(of[s : s + n], np.zeros(1, np.int64), n)[0].tolist() for s in starts]
+        assert fingerprints(of, starts, n, 64).tolist() == alone
+
+
+def test_items_larger_than_a_block_and_other_ids(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 2000)
+    long = [f"w{i}" for i in range(1500)]
+    items = [("big", " ".join(long)), *[(f"i{k}", " ".join(f"q{k}x{i}" for i in range(40))) for k in range(20)], *[("same", "a b c d e f g h")] * 40, (None, None)]
+    rows = [(1.5, "intro " + " ".join(long) + " end", 1, 2), (2.5, " ".join(f"q7x{i}" for i in range(40)), 1, 2), (None, "x a b c d e f g h", 1, 2), (3.5, "clean words only", 1, 2)]
+    docs, bench = spark.createDataFrame(rows, "doc_id double, text string, _block int, item_id int"), spark.createDataFrame(items, "item_id string, text string")
+    got = Counter((r["doc_id"], r["item_id"]) for r in find_leaks(docs, bench).collect())
+    assert got == {(1.5, "big"): 1, (2.5, "i7"): 1, (None, "same"): 40}
+    kept = decontaminate(docs, bench)
+    assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == [3.5]
