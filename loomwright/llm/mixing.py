@@ -15,7 +15,7 @@ Running sums are not taken over whole sources: words are summed by source and ha
 and documents are ordered only inside the one cell of each source in which the fraction ends.
 
 Defined results: null text has no words and is never taken; null is a source of its own, last in order;
-rows that share an id and source are taken together; an empty table gives an empty result.
+rows that share an id and source are taken together; an empty table gives an empty result; other columns may bear any name.
 """
 
 from __future__ import annotations
@@ -94,14 +94,16 @@ def mix_report(docs: DataFrame, seed: str = "mix-1", weights: Sequence[float] =
 def mix(docs: DataFrame, seed: str = "mix-1", weights: Sequence[float] = WEIGHTS, share: float = 1.5, epochs: int = 2) -> DataFrame:
     """The mixed corpus: each document as often as it is taken, with the columns that came in.
 
-    A document without words weighs nothing in any target; it stays as often as its source is taken whole, once at least."""
+    A document without words weighs nothing in any target and goes with its key like any other; a source without a word is not taken.
+    Columns may bear any name."""
     key = draw_key(F.col("doc_id"), seed)
     sizes = cut(docs.select("source", word_count(F.col("text")).alias("size"), key.alias("key")))
     plan = recipe(sizes, weights, share, epochs).withColumnRenamed("source", "_s")
-    rows = docs.join(plan, docs["source"].eqNullSafe(F.col("_s")))
-    times = F.explode(F.sequence(F.lit(1), repetitions(draw_key(docs["doc_id"], seed))))
-    rows = rows.filter(repetitions(draw_key(docs["doc_id"], seed)) > 0).withColumn("_times", times)
-    return rows.select(*(docs[c] for c in docs.columns))
+    # the row as one value: names of the recipe can't clash with its own
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("source").alias("_source"), key.alias("_key"))
+    rows = rows.join(plan, F.col("_source").eqNullSafe(F.col("_s"))).withColumn("_times", repetitions(F.col("_key")))
+    rows = rows.filter("_times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_time"))
+    return rows.select("row.*")
 
 
 def mix_sql(seed: str = "mix-1", weights: Sequence[float] = WEIGHTS, share: float = 1.5, epochs: int = 2) -> str:

@@ -42,3 +42,11 @@ def test_mix_repeats_whole_documents(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], brute.SCHEMA)
     assert mix_report(docs).count() == 0 and mix(docs).count() == 0
+
+
+def test_names_of_the_recipe_and_sources_without_words(spark):
+    rows = [(i, "some words here", "a", i, "e", i, "f", "s") for i in range(20)] + [(50, "", "b", 1, "e", 1, "f", "s"), (51, None, "b", 1, "e", 1, "f", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, whole long, edge_key string, edge_cell long, full_cell string, _s string")
+    got = mix(docs)
+    assert got.columns == docs.columns
+    assert {r["source"] for r in got.collect()} == {"a"} and got.count() == 30
