@@ -19,6 +19,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import fresh_name
+
 
 @dataclass(frozen=True)
 class Node:
@@ -96,14 +98,15 @@ def number(df: DataFrame, group: str, key: str, ties: list[str], out: str = "slo
 
     The hash's top 12 bits cut each group into 4096 cells; rows are numbered within their cell and cells
     offset by the counts before them, so no task holds more of a group than one cell."""
-    # bias: hashes are signed, cells must sort as the hashes do
-    hashed = df.withColumn("_h", F.xxhash64(key_of(F.col(key)))).withColumn("_cell", F.shiftright("_h", 52).cast("int"))
-    cells = hashed.groupBy(group, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select(group, "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy(group, "_cell").orderBy("_h", key, *ties))
-    rows = hashed.withColumn("_rank", rank.cast("long")).join(cells, [group, "_cell"])
-    return rows.withColumn(out, F.col("_before") + F.col("_rank") - 1).drop("_h", "_cell", "_rank", "_before")
+    h, cell, n, rank, before = (fresh_name(df, x) for x in ("h", "cell", "n", "rank", "before"))
+    # hashes are signed, and so are cells: both sort alike
+    hashed = df.withColumn(h, F.xxhash64(key_of(F.col(f"`{key}`")))).withColumn(cell, F.shiftright(h, 52).cast("int"))
+    cells = hashed.groupBy(group, cell).agg(F.count(F.lit(1)).alias(n))
+    ahead = F.sum(n).over(Window.partitionBy(group).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1))
+    cells = cells.select(group, cell, F.coalesce(ahead, F.lit(0)).alias(before))
+    place = F.row_number().over(Window.partitionBy(group, cell).orderBy(h, key, *ties))
+    rows = hashed.withColumn(rank, place.cast("long")).join(cells, [group, cell])
+    return rows.withColumn(out, F.col(before) + F.col(rank) - 1).drop(h, cell, rank, before)
 
 
 def shard_rows(docs: DataFrame, tree: ShardTree, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -55,3 +55,9 @@ def test_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a", 5, "z")], "doc_id long, text string, shard int, slot string")
     row = shard_rows(df, ShardTree.uniform(), keep=df.columns).first()
     assert row["slot"] == 0 and row["text"] == "a"
+
+
+def test_columns_of_the_input_stay(spark):
+    docs = spark.createDataFrame([(i, "t", i, i, i, i, i) for i in range(30)], "doc_id long, text string, _h long, _cell long, _rank long, _before long, _n long")
+    got = shard_rows(docs, ShardTree.uniform(2, 2, 2), keep=docs.columns).collect()
+    assert all(r["_h"] == r["_cell"] == r["_rank"] == r["_before"] == r["_n"] == r["doc_id"] for r in got)
