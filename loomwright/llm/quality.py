@@ -10,7 +10,8 @@ characters went with them. Document-level base rules (too few words, too much re
 
 Defined results: null and empty texts have no words and are rejected by the base rule; blank lines cost
 nothing; repeated rows are judged each; an empty table gives an empty result; only `text` and the named
-columns are read. A text is judged whole, whatever its length.
+columns are read, so others may bear any name. A text is judged whole, whatever its length. Phrases and
+separators are parameters; the default phrases are English, the language of the corpus's licence and notice lines.
 """
 
 from __future__ import annotations
@@ -42,15 +43,18 @@ class LineRules:
     min_words: int = 50
     max_repeat_percent: int = 50
     max_marked: float = 0.1
+    #: Stock phrases of boilerplate in lower case, and the characters that separate the entries of a menu.
+    phrases: tuple[str, ...] = PHRASES
+    separators: str = SEPARATORS
 
     def keeps(self, line: str, odd: bool = True) -> bool:
         """Whether a line that has a word passes; surrounding space is ignored. Without `odd`, the text holds no separator, phrase or brace."""
         line = line.strip(" \t\n\x0b\x0c\r")
         if odd:
-            if sum(map(line.count, SEPARATORS)) >= 2:
+            if sum(map(line.count, self.separators)) >= 2:
                 return False
             low = line.lower()
-            if any(p in low for p in PHRASES) or "{" in line or "}" in line:
+            if any(p in low for p in self.phrases) or "{" in line or "}" in line:
                 return False
         if line[-1] != "." and not _END.search(line) and len(_STOP.findall(line)) < 2:
             return False
@@ -63,7 +67,7 @@ class LineRules:
         lines = text.split("\n")
         kept, left, whole = [], 0, 0
         low = text.lower()
-        odd = any(map(low.__contains__, (*PHRASES, *SEPARATORS, "{", "}")))
+        odd = any(map(low.__contains__, (*self.phrases, *self.separators, "{", "}")))
         for line in lines:
             n = solid(line)
             whole += n
@@ -155,8 +159,8 @@ def quality_filter(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame
 def quality_sql(rules: LineRules = LineRules()) -> str:
     word = r"[^\x20\x09-\x0D]+"
     quote = lambda s: s.replace("'", "''")
-    phrases = " OR ".join(f"contains(lower(line), '{quote(p)}')" for p in PHRASES)
-    seps = " + ".join(f"(len(line) - len(replace(line, '{s}', '')))" for s in SEPARATORS)
+    phrases = " OR ".join(f"contains(lower(line), '{quote(p)}')" for p in rules.phrases)
+    seps = " + ".join(f"(len(line) - len(replace(line, '{s}', '')))" for s in rules.separators)
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 t AS (SELECT r, doc_id, text, regexp_extract_all(text, '{word}') AS words, string_split(text, chr(10)) AS lines FROM d),

@@ -24,8 +24,18 @@ from pyspark.sql import functions as F
 from .common import cut
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: Public suffixes of two labels that this filter knows; any other suffix is the last label.
-SECOND_LEVEL = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "co.jp", "co.nz", "com.br", "co.za", "co.in")
+#: The public suffixes of two labels (a parameter); any other suffix is the last label.
+SECOND_LEVEL = tuple(
+    f"{kind}.{country}"
+    for kinds, countries in (
+        ("com org net gov edu", "ar au bd bo br cn co cy do ec eg es gh gr gt hk in kw kz lb lk ly mm mo mt mx my na ng ni np om pa pe ph pk pl pr pt py qa ro ru sa sg sv tn tr tw ua uy ve vn"),
+        ("co or ac go ne", "at cr id il in jp ke kr th tz ug uk za"),
+        ("co net org ac govt", "nz"),
+        ("org gov net sch nhs ltd plc me", "uk"),
+    )
+    for kind in kinds.split()
+    for country in countries.split()
+)
 _PATTERN = r"(?s)\A.*?://([^/?#]*)([^?#]*)"
 
 
@@ -49,14 +59,14 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES
     return out
 
 
-def suffix_of(host: Column) -> Column:
+def suffix_of(host: Column, second_level: Sequence[str] = SECOND_LEVEL) -> Column:
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*SECOND_LEVEL), two).otherwise(F.substring_index(host, ".", -1))
+    return F.when(two.isin(*second_level), two).otherwise(F.substring_index(host, ".", -1))
 
 
-def domain_of(host: Column) -> Column:
+def domain_of(host: Column, second_level: Sequence[str] = SECOND_LEVEL) -> Column:
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*SECOND_LEVEL), F.substring_index(host, ".", -3)).otherwise(two)
+    return F.when(two.isin(*second_level), F.substring_index(host, ".", -3)).otherwise(two)
 
 
 def _shrink(units: DataFrame, least: float = 1e-3, most: float = 0.95) -> DataFrame:
@@ -69,11 +79,11 @@ def _shrink(units: DataFrame, least: float = 1e-3, most: float = 0.95) -> DataFr
     return units.withColumns({"a": m * k + x, "b": (1 - m) * k + n - x}).withColumn("mean", (m * k + x) / (k + n))
 
 
-def reputation(outcomes: DataFrame, hosts: DataFrame, z: float = 1.645, max_bad: float = 0.25) -> DataFrame:
+def reputation(outcomes: DataFrame, hosts: DataFrame, z: float = 1.645, max_bad: float = 0.25, second_level: Sequence[str] = SECOND_LEVEL) -> DataFrame:
     """From outcomes (host, bad as 0/1) and all hosts: host, mean, bound, verdict."""
     counts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("x"))
     units = hosts.select("host").distinct().join(counts, "host", "left").fillna(0, ["n", "x"])
-    units = cut(units.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}))
+    units = cut(units.withColumns({"domain": domain_of(F.col("host"), second_level), "suffix": suffix_of(F.col("host"), second_level)}))
     n, x = units.agg(F.sum("n"), F.sum("x")).first()
     top = ((x or 0) + 1.0) / ((n or 0) + 2.0)
     add = (F.sum("n").alias("n"), F.sum("x").alias("x"))
@@ -88,25 +98,25 @@ def reputation(outcomes: DataFrame, hosts: DataFrame, z: float = 1.645, max_bad:
     return out.select("host", "n", "x", "mean", "bound", F.when(F.col("bound") > max_bad, "block").otherwise("allow").alias("verdict"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, z: float = 1.645, max_bad: float = 0.25) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, z: float = 1.645, max_bad: float = 0.25, second_level: Sequence[str] = SECOND_LEVEL) -> DataFrame:
     """page_id, host, path, rule, verdict of every page. A label belongs to the page of its id; toxic or of quality 0 is bad."""
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     bad = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).when(F.col("toxic").isNotNull() | F.col("quality").isNotNull(), 0)
     outcomes = rows.select("page_id", "host").join(labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")), "page_id")
-    standing = cut(reputation(outcomes, rows, z, max_bad).select("host", F.col("verdict").alias("_standing")))
+    standing = cut(reputation(outcomes, rows, z, max_bad, second_level).select("host", F.col("verdict").alias("_standing")))
     hit = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("_hit", hit).join(standing, "host", "left")
     return rows.select("page_id", "host", "path", F.col("_hit.rule").alias("rule"), F.coalesce("_hit.verdict", "_standing").alias("verdict"))
 
 
-def judge_sql(rules: Sequence[tuple[str, str]] = RULES, z: float = 1.645, max_bad: float = 0.25) -> str:
+def judge_sql(rules: Sequence[tuple[str, str]] = RULES, z: float = 1.645, max_bad: float = 0.25, second_level: Sequence[str] = SECOND_LEVEL) -> str:
     case, which = [], []
     for rule, verdict in sorted(rules, key=lambda r: (-len(r[0]), r[0])):
         at, slash, rest = rule.partition("/")
         fits = f"(host = '{at}' OR ends_with(host, '.{at}')) AND starts_with(path, '{slash}{rest}')"
         case.append(f"WHEN {fits} THEN '{rule}'")
         which.append(f"WHEN rule = '{rule}' THEN '{verdict}'")
-    known = ", ".join(f"'{s}'" for s in SECOND_LEVEL)
+    known = ", ".join(f"'{s}'" for s in second_level)
     fit = "CASE WHEN coalesce(sum(n * (n - 1) * m * (1 - m)), 0) <> 0 THEN least(0.95::DOUBLE, greatest(1e-3::DOUBLE, (sum((x - n * m) * (x - n * m)) - sum(n * m * (1 - m))) / sum(n * (n - 1) * m * (1 - m)))) ELSE 1e-3::DOUBLE END"
     return f"""
 WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
