@@ -26,7 +26,7 @@ def op1_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeated_bytes(table(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeated_bytes(table(spark, sf_dir, "documents"), texts=False)
 
 
 def op3_html_consensus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def op3_html_consensus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeats(table(spark, sf_dir, "documents"), texts=False)
 
 
 def op5_simhash_small_world(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,10 +11,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from .common import slices
+from pyspark.sql import types as T
 
 #: A null id counts as the greatest id.
 NULL_ID = (1 << 63) - 1
@@ -24,9 +23,14 @@ CELL_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("ids", pa
 GATHER = 1_500_000
 
 
-def width(spark: SparkSession) -> int:
-    """Buckets of an exchange, a power of two: an eighth of the shuffle width (cells are dense), 16 at least."""
-    return 1 << max(4, (slices(spark) // 8 - 1).bit_length())
+#: Bytes of text whose values one bucket takes, and the most buckets that an exchange has.
+BUCKET_BYTES, MOST = 16 << 20, 1 << 20
+
+
+def width(docs: DataFrame, text: str = "text") -> int:
+    """Buckets of an exchange, a power of two that grows with the table's bytes, so that a task's share stays what it is."""
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return min(MOST, 1 << max(2, (-(-total // BUCKET_BYTES) - 1).bit_length()))
 
 
 def log2(n: int) -> int:
@@ -37,6 +41,14 @@ def ids_of(column: pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
 
 
+def long_id(docs: DataFrame, name: str = "doc_id"):
+    """Ids as longs. An order of ids that are no integers has no meaning here, so such a table is refused at once."""
+    kind = docs.schema[name].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"{name} must be an integer, not {kind.simpleString()}")
+    return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))
+
+
 def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of the runs of equal values."""
     if len(sorted_values) == 0:
@@ -47,7 +59,7 @@ def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def cells(buckets: np.ndarray, docs: np.ndarray, ids: np.ndarray, values: np.ndarray, kind: int) -> Iterator[dict]:
     """Rows of CELL. docs: the place of each value's document in `ids`, ascending."""
-    order = np.argsort(buckets.astype(np.uint16), kind="stable")
+    order = np.argsort(buckets.astype(np.uint16) if len(buckets) == 0 or int(buckets.max()) < 1 << 16 else buckets, kind="stable")
     sorted_buckets = buckets[order]
     for start, n in zip(*runs(sorted_buckets)):
         pick = order[start : start + n]
@@ -90,7 +102,7 @@ class Sieve:
 
 def by_bucket(df, buckets: int):
     """The cells of a bucket in one partition, kinds in order."""
-    return df.repartition(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind")
+    return df.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind")
 
 
 def bucket_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bytes]]:

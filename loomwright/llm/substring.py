@@ -14,7 +14,8 @@ passage that very many documents share reaches a bucket once per batch. Nothing
 Windows are compared by a 64-bit hash plus the bucket's bits; a false repeat has odds of about one in
 10**19 a pair. Defined results: null and empty texts have no words; texts under 50 words are kept whole;
 rows of equal id are not smaller than each other, so both stay; a null id counts as the greatest; an empty
-table gives an empty result; only doc_id and text are read.
+table gives an empty result; only doc_id and text are read, so other columns may bear any name; an id that is no
+integer is a TypeError before anything runs.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut
-from .exchange import CELL, GATHER, NULL_ID, Sieve, batch_of, bucket_stream, by_bucket, cells, ids_of, in_sorted, log2, runs, width
+from .exchange import CELL, GATHER, Sieve, batch_of, bucket_stream, by_bucket, cells, ids_of, in_sorted, log2, long_id, runs, width
 from .textvec import Slab, U, inside, slabs, windows
 
 WINDOW, BLOCK = 50, 25
@@ -211,7 +212,7 @@ def _hit_set(hits, kind: type, shift: int) -> np.ndarray:
 
 
 def _documents(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"))
+    return docs.select("doc_id", "text", long_id(docs).alias("id"))
 
 
 def _around(slab_hashes: np.ndarray, hits: np.ndarray, bits: int) -> np.ndarray:
@@ -304,7 +305,7 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from close()
 
 
-def _last_pass(bits: int):
+def _last_pass(bits: int, with_texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, digests, texts = [], [], [], []
@@ -334,16 +335,17 @@ def _last_pass(bits: int):
                     n_words.append(b - a)
                     n_removed.append(int(removed.sum()))
                     digests.append(hashlib.sha256(text).hexdigest())
-                    texts.append(text.decode("utf-8", "surrogatepass"))
-            cols = [ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+                    if with_texts:
+                        texts.append(text.decode("utf-8", "surrogatepass"))
+            cols = [ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), *([pa.array(texts, pa.string())] if with_texts else [])]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if with_texts else [])])
 
     return run
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_words, n_removed, kept_sha256, and the words kept as `kept`."""
-    buckets = width(docs.sparkSession)
+def remove_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
+    """Per document: doc_id, n_words, n_removed, kept_sha256, and with `texts` the words kept as `kept`."""
+    buckets = width(docs)
     bits = log2(buckets)
     rows = _documents(docs)
     sent = rows.select("id", "text").mapInArrow(_first_pass(bits), CELL)
@@ -352,5 +354,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     around = near.mapInArrow(_third_pass(bits), CELL)
     repeats = cut(by_bucket(around, buckets).mapInArrow(_resolve, _REPLY), free=True)
     done = rows.join(_gathered(repeats), "id", "left").select("doc_id", "text", "hits")
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.StringType())])
-    return done.mapInArrow(_last_pass(bits), schema)
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), *([T.StructField("kept", T.StringType())] if texts else [])])
+    return done.mapInArrow(_last_pass(bits, texts), schema)

@@ -14,7 +14,8 @@ multiplicities are enough.
 
 Repeats inside one batch of documents are merged before they are sent. Fingerprints are 64 bits plus
 those of the bucket. Defined results: null is an empty text; texts under 200 bytes lose nothing;
-repeated rows remove each other; an empty table gives an empty result; only doc_id and text are read.
+repeated rows remove each other; an empty table gives an empty result; only doc_id and text are read, so other
+columns may bear any name; an id that is no integer is a TypeError before anything runs.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut
-from .exchange import CELL, GATHER, NULL_ID, batch_of, bucket_stream, by_bucket, cells, ids_of, in_sorted, log2, runs, width
+from .exchange import CELL, GATHER, batch_of, bucket_stream, by_bucket, cells, ids_of, in_sorted, log2, long_id, runs, width
 from .phrases import SIZE, Parse, bucket_key, bucket_sums, string_key, suffix_ranks
 from .textvec import U, slabs
 
@@ -231,48 +232,52 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from close()
 
 
-def _cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        replies = batch.column(2)
-        sizes, removed, spans, digests, texts = [], [], [], [], []
-        for slab in slabs(batch.column(1)):
-            p = whole = None
-            for d in range(len(slab)):
-                a, b = int(slab.off[d]), int(slab.off[d + 1])
-                gone = np.zeros(b - a, bool)
-                cell = replies[slab.first + d]
-                if cell.is_valid and b - a >= SIZE:
-                    if p is None:
-                        p = Parse(slab)
-                        whole = p.hashes()[1]
-                    mine, cell = _phrases(p, d), cell.as_py()
-                    edge = np.zeros(b - a + 1, np.int64)
-                    hit = np.flatnonzero(in_sorted(whole[mine], _hits(cell, REPEATS, REPEATS_SEND))) + mine.start
-                    edge[p.start[hit] - a] += 1
-                    np.subtract.at(edge, p.stop[hit] - 1 + SIZE - a, 1)
-                    strings = _hits(cell, STRING)
-                    if len(strings):
-                        at = np.arange(a, b - SIZE + 1)
-                        key = string_key(at, p.sums)
-                        found = np.flatnonzero(in_sorted(key, strings))
-                        edge[found] += 1
-                        edge[found + SIZE] -= 1
-                    gone = np.cumsum(edge)[:-1] > 0
-                text = slab.data[a:b][~gone].tobytes()
-                sizes.append(b - a)
-                removed.append(int(gone.sum()))
-                spans.append(int(np.count_nonzero(np.diff(np.concatenate(([False], gone)).astype(np.int8)) == 1)))
-                digests.append(hashlib.sha256(text).hexdigest())
-                texts.append(text)
-        cols = [batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), pa.array(digests, pa.string()), pa.array(texts, pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-
-def remove_repeated_bytes(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the bytes kept as `kept`."""
-    buckets = width(docs.sparkSession)
+def _cover(with_texts: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            replies = batch.column(2)
+            sizes, removed, spans, digests, texts = [], [], [], [], []
+            for slab in slabs(batch.column(1)):
+                p = whole = None
+                for d in range(len(slab)):
+                    a, b = int(slab.off[d]), int(slab.off[d + 1])
+                    gone = np.zeros(b - a, bool)
+                    cell = replies[slab.first + d]
+                    if cell.is_valid and b - a >= SIZE:
+                        if p is None:
+                            p = Parse(slab)
+                            whole = p.hashes()[1]
+                        mine, cell = _phrases(p, d), cell.as_py()
+                        edge = np.zeros(b - a + 1, np.int64)
+                        hit = np.flatnonzero(in_sorted(whole[mine], _hits(cell, REPEATS, REPEATS_SEND))) + mine.start
+                        edge[p.start[hit] - a] += 1
+                        np.subtract.at(edge, p.stop[hit] - 1 + SIZE - a, 1)
+                        strings = _hits(cell, STRING)
+                        if len(strings):
+                            at = np.arange(a, b - SIZE + 1)
+                            key = string_key(at, p.sums)
+                            found = np.flatnonzero(in_sorted(key, strings))
+                            edge[found] += 1
+                            edge[found + SIZE] -= 1
+                        gone = np.cumsum(edge)[:-1] > 0
+                    text = slab.data[a:b][~gone].tobytes()
+                    sizes.append(b - a)
+                    removed.append(int(gone.sum()))
+                    spans.append(int(np.count_nonzero(np.diff(np.concatenate(([False], gone)).astype(np.int8)) == 1)))
+                    digests.append(hashlib.sha256(text).hexdigest())
+                    if with_texts:
+                        texts.append(text)
+            cols = [batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), pa.array(digests, pa.string()), *([pa.array(texts, pa.binary())] if with_texts else [])]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_texts else [])])
+
+    return run
+
+
+def remove_repeated_bytes(docs: DataFrame, texts: bool = True) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with `texts` the bytes kept as `kept`."""
+    buckets = width(docs)
     bits = log2(buckets)
-    rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"))
+    rows = docs.select("doc_id", "text", long_id(docs).alias("id"))
     parse = rows.select("id", "text").mapInArrow(_parse_pass(bits), CELL)
     phrases = cut(by_bucket(parse, buckets).mapInArrow(_count, _REPLY), free=True)
     reply = F.collect_list(F.struct("state", "hits")).alias("hits")
@@ -282,5 +287,5 @@ def remove_repeated_bytes(docs: DataFrame) -> DataFrame:
     found = phrases.filter(F.col("state") != SEND).union(strings).groupBy("id").agg(reply)
     done = rows.join(found, "id", "left").select("doc_id", "text", "hits")
     long = T.LongType()
-    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(n, long) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())])
-    return done.mapInArrow(_cover, schema)
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(n, long) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), *([T.StructField("kept", T.BinaryType())] if texts else [])])
+    return done.mapInArrow(_cover(texts), schema)

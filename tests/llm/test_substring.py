@@ -40,3 +40,13 @@ def test_empty_table_and_extra_columns(spark):
     rows = [(1, "a " * 60, "x", "y", 1, 9, "h", 3), (2, "a " * 60, "x", "y", 1, 9, "h", 3)]
     docs = spark.createDataFrame(rows, brute.SCHEMA + ", id long, hits string, bucket int")
     assert brute.order(remove_repeats(docs).select(COLS).collect()) == brute.order(brute.repeats(rows))
+
+
+def test_texts_longer_than_a_slab_and_ids_that_are_no_integers(spark):
+    long = " ".join(f"w{i % 9000}" for i in range(40_000))
+    rows = [(1, long, None, None, 0), (2, "start " + long[1000:3000], None, None, 0), (None, None, None, None, 0)]
+    docs = spark.createDataFrame(rows, brute.SCHEMA)
+    assert brute.order(remove_repeats(docs).select(COLS).collect()) == brute.order(brute.repeats(rows))
+    assert "kept" not in remove_repeats(docs, texts=False).columns
+    with pytest.raises(TypeError):
+        remove_repeats(spark.createDataFrame([("x", "t")], "doc_id string, text string"))

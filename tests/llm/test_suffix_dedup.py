@@ -35,3 +35,13 @@ def test_suffix_ranks_are_the_order_of_the_strings():
 
 def test_empty_table(spark):
     assert remove_repeated_bytes(spark.createDataFrame([], brute.SCHEMA)).count() == 0
+
+
+def test_texts_longer_than_a_slab_and_ids_that_are_no_integers(spark):
+    long = " ".join(f"w{i % 9000}" for i in range(40_000))
+    rows = [(1, long, None, None, 0), (2, "start " + long[1000:3000], None, None, 0), (None, None, None, None, 0)]
+    docs = spark.createDataFrame(rows, brute.SCHEMA)
+    assert brute.order(remove_repeated_bytes(docs).select(COLS).collect()) == brute.order(brute.byte_repeats(rows))
+    assert "kept" not in remove_repeated_bytes(docs, texts=False).columns
+    with pytest.raises(TypeError):
+        remove_repeated_bytes(spark.createDataFrame([("x", "t")], "doc_id string, text string"))
