@@ -1,7 +1,8 @@
 """The filter dialect: what differs from Spark SQL is rewritten, the rest is Spark's own parser and coercion.
 
 Kept: double quotes are string literals, backticks quote names. Rewritten: integer `/` truncates when
-both sides are integer columns or literals (`div`), `expr[i]` on lists counts from 1.
+both sides are integer columns or literals (`div`), `list[i]` on a list column counts from 1 (beyond its ends it is null),
+and `[a, b]` where no name or bracket stands before it is an array.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .register import renamed
+
 _CASTS = {
     "boolean": "boolean", "tinyint": "tinyint", "smallint": "smallint", "int": "int", "integer": "int", "bigint": "bigint", "float": "float", "double": "double",
     "string": "string", "binary": "binary", "date": "date", "timestamp": "timestamp_ntz", "decimal": "decimal",
@@ -29,12 +32,49 @@ def _is_whole(token: str, df: DataFrame) -> bool:
         return False
 
 
+_ITEM = re.compile(r"(`[^`]+`|[A-Za-z_][\w.]*)\[\s*(-?\d+)\s*\]")
+
+
+def _is_list(token: str, df: DataFrame) -> bool:
+    try:
+        return isinstance(df.select(token).schema[0].dataType, T.ArrayType)
+    except Exception:  # noqa: BLE001 - no such column
+        return False
+
+
+def _arrays(parts: list[str]) -> list[str]:
+    """Turns the brackets of array literals into `array(...)`; parts at odd places are quoted strings."""
+    open_: list[bool] = []
+    before = ""
+    out = []
+    for i, part in enumerate(parts):
+        if i % 2:
+            out.append(part)
+            before = "'"
+            continue
+        text = ""
+        for c in part:
+            if c == "[":
+                open_.append(not (before.isalnum() or before in "_`)]'\""))
+                text += "array(" if open_[-1] else c
+            elif c == "]" and open_:
+                text += ")" if open_.pop() else c
+            else:
+                text += c
+            before = c if not c.isspace() else before
+            if text.rstrip()[-3:].lower() == " in" and c.isspace():
+                before = ""
+        out.append(text)
+    return out
+
+
 def rewrite(text: str, df: DataFrame) -> str:
     """A filter or projection expression in Spark SQL."""
-    parts = re.split(r"('(?:[^']|'')*'|\"[^\"]*\")", text)
+    parts = re.split(r"('(?:[^']|'')*'|\"[^\"]*\")", renamed(text))
     for i in range(0, len(parts), 2):
         parts[i] = _DIVIDE.sub(lambda m: f"({m[1]} div {m[2]})" if _is_whole(m[1], df) and _is_whole(m[2], df) else m[0], parts[i])
-    return "".join(parts)
+        parts[i] = _ITEM.sub(lambda m: f"get({m[1]}, {int(m[2]) - 1})" if _is_list(m[1], df) else m[0], parts[i])
+    return "".join(_arrays(parts))
 
 
 def expression(text: str, df: DataFrame) -> Column:

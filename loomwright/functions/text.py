@@ -13,6 +13,8 @@ _FOLD = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeei
 def tokens(text: Column, lower: bool = True, max_length: int | None = 40, fold: bool = False, stop_words: tuple[str, ...] = (), base: str = "simple", ngram: tuple[int, int] = (3, 3), prefix_only: bool = False) -> Column:
     """The tokens of a text in order. base: simple (runs of letters and digits), whitespace, raw (the whole text) or ngram."""
     text = F.lower(text) if lower else text
+    if base == "simple" and max_length is not None:  # no lambda: a long run of letters is blanked before the split
+        text, max_length = F.regexp_replace(text, rf"[\p{{L}}\p{{N}}]{{{max_length + 1},}}", " "), None
     if base == "raw":
         out = F.array(text)
     elif base == "whitespace":
@@ -28,7 +30,7 @@ def tokens(text: Column, lower: bool = True, max_length: int | None = 40, fold:
         out = F.concat(*parts)
     else:
         raise ValueError(f"unknown tokenizer {base!r}")
-    out = F.filter(out, lambda t: t != "")
+    out = F.array_remove(out, "")
     if fold:
         out = F.transform(out, lambda t: F.translate(t, *_FOLD))
     if max_length is not None and base != "raw":

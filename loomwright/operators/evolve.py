@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dialect import cast_type, expression
-from ..sources.table import MAX_ROWS, SYSTEM, Snapshot, Table, TableError, _fields, _next
+from ..sources.table import MAX_ROWS, SYSTEM, Snapshot, Table, TableError, _fields, origins, place
 
 _FAMILIES = (
     (T.ByteType, T.ShortType, T.IntegerType, T.LongType), (T.FloatType, T.DoubleType), (T.StringType, T.VarcharType, T.CharType), (T.BinaryType,),
@@ -18,15 +18,18 @@ _FAMILIES = (
 )
 
 
-def rewrite(table: Table, rows: DataFrame, operation: str, max_rows: int = MAX_ROWS) -> Table:
-    """Replaces all data by rows that keep their ids and versions, under the frame's columns."""
+def rewrite(table: Table, rows: DataFrame, operation: str, changed: set[str] | None = None, max_rows: int = MAX_ROWS) -> Table:
+    """Replaces all data by rows that keep their ids and versions, under the frame's columns. Indices over `changed` columns, and over columns that are gone, go."""
     data = rows.drop(*SYSTEM)
-    first = table.snapshot.body["next_fragment"]
+    first, planned = table.snapshot.body["next_fragment"], table.version + 1
     fresh = Table(table.spark, table.uri, Snapshot(table.snapshot.body | {"fields": _fields(data.schema)}), table.branch)
-    fragments = fresh._write_fragments(rows, table.version + 1, first, max_rows, keep=True)
+    came = sorted(set().union(*map(origins, table.snapshot.fragments))) if table.snapshot.fragments else []
+    fragments = [f | {"origins": came} for f in fresh._write_fragments(rows, planned, first, max_rows, keep=True)]
+    stay = set(data.columns) - (changed or set())
 
     def change(body: dict) -> None:
-        body |= {"fields": _fields(data.schema), "fragments": fragments, "deletions": [], "next_fragment": max(body["next_fragment"], _next(fragments, first))}
+        body |= {"fields": _fields(data.schema), "fragments": [], "deletions": [], "deleted_rows": 0, "indices": [x for x in body["indices"] if x["column"] in stay]}
+        place(body, fragments, first, planned, keep=True)
 
     return table._commit(operation, change)
 
@@ -37,9 +40,12 @@ def _new(table: Table, names: Sequence[str]) -> None:
         raise TableError(f"columns {sorted(clash)} exist")
 
 
-def _project(table: Table, change_fields: Callable[[list[dict]], list[dict]]) -> Table:
+def _project(table: Table, change_fields: Callable[[list[dict]], list[dict]], renames: Mapping[str, str | None] | None = None) -> Table:
+    """Changes the manifest's fields; indices follow `renames`, and go with columns that it maps to None."""
     def change(body: dict) -> None:
         body["fields"] = change_fields(body["fields"])
+        to = [(x, (renames or {}).get(x["column"], x["column"])) for x in body["indices"]]
+        body["indices"] = [x | {"column": name} for x, name in to if name is not None]
 
     return table._commit("project", change)
 
@@ -124,9 +130,9 @@ def alter_columns(table: Table, *changes: Mapping) -> Table:
             nullable[path] = c["nullable"]
     if casts:
         rows = table.scan()
-        rewrite(table, rows.select(*(F.col(c).cast(casts[c]).alias(c) if c in casts else F.col(f"`{c}`") for c in rows.columns)), "merge")
+        rewrite(table, rows.select(*(F.col(c).cast(casts[c]).alias(c) if c in casts else F.col(f"`{c}`") for c in rows.columns)), "merge", set(casts))
     if renames or nullable:
-        _project(table, lambda old: [f | {"name": renames.get(f["name"], f["name"]), "nullable": nullable.get(f["name"], f["nullable"])} for f in old])
+        _project(table, lambda old: [f | {"name": renames.get(f["name"], f["name"]), "nullable": nullable.get(f["name"], f["nullable"])} for f in old], renames)
     return table
 
 
@@ -144,9 +150,9 @@ def drop_columns(table: Table, names: Sequence[str]) -> Table:
         for n in nested:
             top, _, rest = n.partition(".")
             rows = rows.withColumn(top, F.col(top).dropFields(rest))
-        rewrite(table, rows, "merge")
+        rewrite(table, rows, "merge", {n.partition(".")[0] for n in nested})
     if whole:
         if set(whole) == have:
             raise TableError("a table keeps one column at least")
-        _project(table, lambda old: [f for f in old if f["name"] not in whole])
+        _project(table, lambda old: [f for f in old if f["name"] not in whole], {n: None for n in whole})
     return table

@@ -128,7 +128,11 @@ class Index:
     def stats(self) -> tuple[int, float]:
         """Rows with a text, and their average length."""
         if self._stats is None:
-            n, total = self.df.filter(F.col(self.column).isNotNull()).agg(F.count(F.lit(1)), F.sum(F.size(self.analyzer.of(self.text)))).first()
+            rows = self.df.filter(F.col(self.column).isNotNull())
+            if self.stored is not None:
+                n, total = rows.count(), self.stored.agg(F.sum("tf")).first()[0]
+            else:
+                n, total = rows.agg(F.count(F.lit(1)), F.sum(F.size(self.analyzer.of(self.text)))).first()
             self._stats = n, (total or 0) / n if n else 0.0
         return self._stats
 
@@ -136,15 +140,18 @@ class Index:
         row = self.df.sparkSession.range(1).select(self.analyzer.of(F.lit(text)).alias("t")).first()
         return list(row["t"])
 
+    def places(self, terms: Sequence[str]) -> DataFrame:
+        """(key, length, term, pos) of every place of a term: texts are tokenised once, other terms leave at once."""
+        if self.stored is not None:
+            return self.stored.filter(F.col("term").isin(list(terms))).select(self.key, "length", "term", F.explode("positions").alias("pos"))
+        rows = self.df.filter(F.col(self.column).isNotNull()).select(self.key, self.analyzer.of(self.text).alias("_t"))
+        return rows.select(self.key, F.size("_t").alias("length"), F.posexplode("_t").alias("pos", "term")).filter(F.col("term").isin(list(terms)))
+
     def hits(self, terms: Sequence[str]) -> DataFrame:
-        """(key, length, term, tf) of the rows that hold a term: no posting of any other term is made."""
-        wanted = F.array(*(F.lit(t) for t in terms))
+        """(key, length, term, tf) of the rows that hold a term."""
         if self.stored is not None:
             return self.stored.filter(F.col("term").isin(list(terms))).select(self.key, "length", "term", "tf")
-        rows = self.df.filter(F.col(self.column).isNotNull()).select(self.key, self.analyzer.of(self.text).alias("_t"))
-        rows = rows.filter(F.arrays_overlap("_t", wanted))
-        rows = rows.select(self.key, F.size("_t").alias("length"), "_t", F.explode(wanted).alias("term"))
-        return rows.select(self.key, "length", "term", F.size(F.filter("_t", lambda x: x == F.col("term"))).alias("tf")).filter("tf > 0")
+        return self.places(terms).groupBy(self.key, "term").agg(F.first("length").alias("length"), F.count(F.lit(1)).cast("int").alias("tf"))
 
     def score(self, hits: DataFrame) -> DataFrame:
         """(key, term, weight) by BM25."""
@@ -187,29 +194,31 @@ def _match(index: Index, q: Match) -> DataFrame:
     return out.select(index.key, SCORE)
 
 
-def _places(term: str, i: int) -> Column:
-    """Where a phrase whose word i is the term would start."""
-    return F.filter(F.transform("_t", lambda x, k: F.when(x == term, k - i)), lambda p: p.isNotNull())
-
-
-def _behind(at: Column, ends: Column, slop: int) -> Column:
-    return F.filter(at, lambda p: F.exists(ends, lambda last: (last <= p) & (p <= last + slop)))
-
-
 def _phrase(index: Index, q: Phrase) -> DataFrame:
     """Rows in which the words stand one behind the other, each at most `slop` places late."""
     terms = index.terms(q.text)
     if not terms:
         return index.df.select(index.key, F.lit(0.0).alias(SCORE)).limit(0)
-    rows = index.df.filter(F.col(index.column).isNotNull()).select(index.key, index.analyzer.of(index.text).alias("_t"))
-    rows = rows.filter(F.size(F.array_except(F.array(*(F.lit(t) for t in terms)), "_t")) == 0)
-    # ends: relative places at which the words so far can end
-    ends = _places(terms[0], 0)
-    for i, t in enumerate(terms[1:], 1):
-        ends = _behind(_places(t, i), ends, q.slop)
-    near = rows.filter(F.size(ends) > 0).select(index.key)
-    scored = index.score(index.hits(sorted(set(terms)))).groupBy(index.key).agg(F.sum("weight").alias(SCORE))
-    return scored.join(near, index.key, "left_semi")
+    key = index.key
+    at = index.places(sorted(set(terms)))
+    # relative places: where the phrase would start if this word stood in its place
+    starts = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(terms)))).alias("w")
+    rel = at.select(key, "length", "term", "pos", starts).filter(F.col("w.t") == F.col("term")).select(key, "length", "term", F.col("w.i").alias("_i"), (F.col("pos") - F.col("w.i")).alias("_at"))
+    # per row, the sorted relative places of every word; the walk keeps those at which the words so far can end
+    lists = rel.groupBy(key).agg(F.first("length").alias("length"), *(F.sort_array(F.collect_list(F.when(F.col("_i") == i, F.col("_at")))).alias(f"_at{i}") for i in range(len(terms))))
+    ends = F.col("_at0")
+    for i in range(1, len(terms)):
+        mine = F.col(f"_at{i}")
+        if q.slop == 0:
+            ends = F.array_intersect(ends, mine)
+        else:
+            ends = F.array_intersect(mine, F.array_distinct(F.flatten(F.transform(ends, lambda p: F.sequence(p, p + q.slop)))))
+    near = lists.withColumn("_ends", ends)
+    # document frequencies are those of the words, not of the phrase
+    tf = {t: i for i, t in reversed(list(enumerate(terms)))}
+    rows = lists.select(key, "length", F.explode(F.array(*(F.struct(F.lit(t).alias("term"), F.size(f"_at{i}").alias("tf")) for t, i in tf.items()))).alias("h")).select(key, "length", "h.term", "h.tf").filter("tf > 0")
+    scored = index.score(rows).groupBy(key).agg(F.sum("weight").alias(SCORE))
+    return scored.join(near.filter(F.size("_ends") > 0).select(key), key, "left_semi")
 
 
 def scores(df: DataFrame, query, columns: Sequence[str], key: str = ROWID, analyzer: Analyzer = Analyzer(), stored: dict[str, DataFrame] | None = None) -> DataFrame:

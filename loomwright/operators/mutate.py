@@ -3,25 +3,30 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dialect import expression, predicate
-from ..sources.table import CREATED, ROWID, SYSTEM, UPDATED, CommitConflict, Table, TableError, _next
+from ..sources.table import CREATED, ROWID, SYSTEM, UPDATED, CommitConflict, Table, TableError, place
 
 
 def _drop_rows(table: Table, ids: DataFrame) -> tuple[dict | None, set[int]]:
     """Writes a deletion file of row ids; its manifest entry and the fragments it touches."""
-    import uuid
-
     path = f"{table.uri}/_deletions/{uuid.uuid4().hex}"
     ids.select(ROWID).write.parquet(path)
     saved = table.spark.read.schema(f"{ROWID} long").parquet(path)
     touched = {r[0]: r[1] for r in saved.groupBy(F.shiftright(ROWID, 32)).count().collect()}  # a row per fragment
     rows = sum(touched.values())
-    return ({"path": path, "rows": rows} if rows else None), set(touched)
+    return ({"path": path, "rows": rows, "fragments": sorted(touched)} if rows else None), set(touched)
+
+
+def _enter(body: dict, entry: dict) -> None:
+    """A deletion file into a manifest."""
+    body["deletions"] = [*body["deletions"], entry]
+    body["deleted_rows"] += entry["rows"]
 
 
 def delete(table: Table, where: str | Column) -> int:
@@ -31,23 +36,21 @@ def delete(table: Table, where: str | Column) -> int:
     if entry is None:
         return 0
 
-    def change(body: dict) -> None:
-        body["deletions"] = [*body["deletions"], entry]
-
-    table._commit("delete", change, touched)
+    table._commit("delete", lambda body: _enter(body, entry), touched)
     return entry["rows"]
 
 
-def _replace(table: Table, gone: DataFrame | None, fresh: DataFrame | None, operation: str) -> None:
-    entry, touched = _drop_rows(table, gone) if gone is not None else (None, set())
-    first = table.snapshot.body["next_fragment"]
-    fragments = table._write_fragments(fresh, table.version + 1, first) if fresh is not None else []
+def _replace(table: Table, gone: tuple[dict | None, set[int]], fresh: DataFrame | None, operation: str, config: dict[str, str] | None = None) -> None:
+    """One commit that drops the rows of a deletion file and adds fresh ones."""
+    entry, touched = gone
+    first, planned = table.snapshot.body["next_fragment"], table.version + 1
+    fragments = table._write_fragments(fresh, planned, first) if fresh is not None else []
 
     def change(body: dict) -> None:
         if entry is not None:
-            body["deletions"] = [*body["deletions"], entry]
-        body["fragments"] = body["fragments"] + fragments
-        body["next_fragment"] = max(body["next_fragment"], _next(fragments, first))
+            _enter(body, entry)
+        place(body, fragments, first, planned)
+        body["config"] = body["config"] | (config or {})
 
     table._commit(operation, change, touched)
 
@@ -61,13 +64,13 @@ def update(table: Table, values: Mapping[str, str | Column], where: str | Column
     rows = table.scan()
     if where is not None:
         rows = rows.filter(F.coalesce(predicate(where, rows), F.lit(False)))
-    n = rows.count()
-    if n == 0:
+    gone = _drop_rows(table, rows)
+    if gone[0] is None:
         return 0
     set_to = {k: (expression(v, rows) if isinstance(v, str) else v).cast(types[k]) for k, v in values.items()}
     fresh = rows.select(*(set_to[n].alias(n) if n in set_to else F.col(f"`{n}`") for n in types), CREATED)
-    _replace(table, rows, fresh, "update")
-    return n
+    _replace(table, gone, fresh, "update")
+    return gone[0]["rows"]
 
 
 class MergeInsert:
@@ -115,14 +118,14 @@ class MergeInsert:
         self._retries, self._timeout = retries, timeout
         return self
 
-    def execute(self, source: DataFrame) -> dict[str, int]:
-        """Commits; counts of inserted, updated and deleted rows, and the attempts it took."""
+    def execute(self, source: DataFrame, config: dict[str, str] | None = None) -> dict[str, int]:
+        """Commits (with entries of `config`, if any); counts of inserted, updated and deleted rows, and the attempts it took."""
         if self._matched == "nothing" and not self._insert and self._by_source == "keep":
             raise TableError("this merge would do nothing")
         began = time.time()
         for attempt in range(1, self._retries + 2):
             try:
-                return self._once(source) | {"attempts": attempt}
+                return self._once(source, config) | {"attempts": attempt}
             except CommitConflict:
                 if attempt > self._retries or time.time() - began > self._timeout:
                     raise
@@ -167,18 +170,10 @@ class MergeInsert:
             text = text.replace(f"source.{c}", f"`s_{c}`").replace(f"target.{c}", f"`t_{c}`")
         return F.when(F.coalesce(F.expr(text), F.lit(False)), F.lit("update")).otherwise(F.lit("keep"))
 
-    def _once(self, source: DataFrame) -> dict[str, int]:
+    def _once(self, source: DataFrame, config: dict[str, str] | None) -> dict[str, int]:
+        """The joined actions are computed once and written; counts, checks, deletions and new rows read them."""
         table = self.table
-        names = [f.name for f in table.schema]
-        acts = self.plan(source).filter(F.col("_action").isin("update", "insert", "delete", "fail"))
-        counts = {r["_action"]: r["count"] for r in acts.groupBy("_action").count().collect()}
-        if counts.get("fail"):
-            raise TableError(f"{counts['fail']} source rows match the table")
-        if counts.get("update"):
-            twice = acts.filter("_action = 'update'").groupBy(ROWID).count().filter("count > 1").limit(1).count()
-            if twice:
-                raise TableError("ambiguous merge: several source rows match one target row")
-        fresh = acts.filter("_action <> 'delete'")
+        planned = self.plan(source).filter(F.col("_action").isin("update", "insert", "delete", "fail"))
         cols = []
         for f in table.schema:
             n = f.name
@@ -186,13 +181,29 @@ class MergeInsert:
                 cols.append(F.col(f"s_{n}").cast(f.dataType).alias(n))
             else:  # a source of fewer columns leaves the others as they are
                 cols.append(F.when(F.col("_action") == "update", F.col(f"t_{n}")).cast(f.dataType).alias(n))
-        fresh = fresh.select(*cols, F.when(F.col("_action") == "update", F.col(CREATED)).alias(CREATED))
-        gone = acts.filter(F.col("_action").isin("update", "delete"))
-        if counts:
+        draft = f"{table.uri}/_drafts/{uuid.uuid4().hex}"
+        values = planned.select(F.struct(*cols).alias("row"), "_action", ROWID, F.when(F.col("_action") == "update", F.col(CREATED)).alias(CREATED))
+        values.write.parquet(draft)
+        try:
+            acts = table.spark.read.schema(values.schema).parquet(draft)
+            per_row = acts.groupBy("_action", ROWID).count() if self._matched == "update" else acts.groupBy("_action").count().withColumn(ROWID, F.lit(None).cast("long"))
+            # updates are counted by target row: more than one source row for it is an error
+            counts, twice = {}, False
+            for r in per_row.groupBy("_action").agg(F.sum("count").alias("n"), F.max(F.when(F.col(ROWID).isNotNull(), F.col("count"))).alias("most")).collect():
+                counts[r["_action"]] = r["n"]
+                twice |= r["_action"] == "update" and (r["most"] or 0) > 1
+            if counts.get("fail"):
+                raise TableError(f"{counts['fail']} source rows match the table")
+            if twice:
+                raise TableError("ambiguous merge: several source rows match one target row")
             new = counts.get("update", 0) + counts.get("insert", 0)
             lose = counts.get("update", 0) + counts.get("delete", 0)
-            _replace(table, gone if lose else None, fresh if new else None, "update")
-        assert set(names)
+            gone = _drop_rows(table, acts.filter(F.col("_action").isin("update", "delete"))) if lose else (None, set())
+            fresh = acts.filter("_action <> 'delete'").select("row.*", CREATED) if new else None
+            if counts or config:
+                _replace(table, gone, fresh, "update", config)
+        finally:
+            table.store.delete(draft, True)
         return {"inserted": counts.get("insert", 0), "updated": counts.get("update", 0), "deleted": counts.get("delete", 0)}
 
 
@@ -214,7 +225,7 @@ def merge_columns(table: Table, other: DataFrame, left_on: str, right_on: str |
     other = other.dropDuplicates([right_on]).withColumnRenamed(right_on, "_key")
     rows = table.scan()
     joined = rows.join(other, rows[left_on] == other["_key"], "left").select(*rows.columns, *add)
-    return rewrite(table, joined, "merge")
+    return rewrite(table, joined, "merge", set(add))
 
 
 def update_columns(table: Table, other: DataFrame, left_on: str, right_on: str | None = None) -> Table:
@@ -231,18 +242,19 @@ def update_columns(table: Table, other: DataFrame, left_on: str, right_on: str |
     joined = rows.join(other, rows[left_on] == other["_key"], "left")
     cols = [F.when(F.col("_hit"), F.col(f"_n_{f.name}")).otherwise(F.col(f.name)).cast(f.dataType).alias(f.name) if f.name in change else F.col(f"`{f.name}`") for f in table.schema]
     hit = F.when(F.col("_hit"), F.lit(table.version + 1)).otherwise(F.col(UPDATED)).cast("long").alias(UPDATED)
-    return rewrite(table, joined.select(*cols, ROWID, CREATED, hit), "merge")
+    return rewrite(table, joined.select(*cols, ROWID, CREATED, hit), "merge", set(change))
 
 
 def replace_fragment(table: Table, fragment: int, df: DataFrame) -> Table:
     """Swaps the data of one fragment."""
-    fragments = table._write_fragments(table._fit(df), table.version + 1, table.snapshot.body["next_fragment"])
+    first, planned = table.snapshot.body["next_fragment"], table.version + 1
+    fragments = table._write_fragments(table._fit(df), planned, first)
 
     def change(body: dict) -> None:
         if fragment not in {f["id"] for f in body["fragments"]}:
             raise TableError(f"no fragment {fragment}")
-        body["fragments"] = [f for f in body["fragments"] if f["id"] != fragment] + fragments
-        body["next_fragment"] = max(body["next_fragment"], _next(fragments, 0))
+        body["fragments"] = [f for f in body["fragments"] if f["id"] != fragment]
+        place(body, fragments, first, planned)
 
     return table._commit("replace", change)
 

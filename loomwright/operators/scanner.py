@@ -12,7 +12,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dialect import expression, predicate
+from ..functions.dialect import expression, predicate, rewrite
 from ..sources.table import DISTANCE, OFFSET, ROWADDR, ROWID, SCORE, SYSTEM, TableError
 
 if TYPE_CHECKING:
@@ -37,7 +37,7 @@ class Scanner:
     comes before the search (else after its top k); fragments: ids to read.
     """
 
-    def __init__(self, table: Table, columns: Sequence[str] | Mapping[str, str] | None = None, filter: str | Column | None = None, order_by: Sequence | None = None, limit: int | None = None, offset: int | None = None, nearest: dict | None = None, full_text=None, full_text_columns: Sequence[str] | None = None, prefilter: bool = False, with_row_id: bool = False, with_row_address: bool = False, fragments: Sequence[int] | None = None, include_deleted: bool = False, ordered: bool = False, fast_search: bool = False):  # noqa: A002
+    def __init__(self, table: Table, columns: Sequence[str] | Mapping[str, str] | None = None, filter: str | Column | None = None, order_by: Sequence | None = None, limit: int | None = None, offset: int | None = None, nearest: dict | None = None, full_text=None, full_text_columns: Sequence[str] | None = None, prefilter: bool = False, with_row_id: bool = False, with_row_address: bool = False, fragments: Sequence[int] | None = None, include_deleted: bool = False, ordered: bool = False, fast_search: bool = False, use_scalar_index: bool = True):  # noqa: A002
         if (limit is not None and limit < 0) or (offset is not None and offset < 0):
             raise TableError("limit and offset must not be negative")
         if nearest is not None and full_text is not None:
@@ -50,6 +50,7 @@ class Scanner:
         self.limit, self.offset, self.nearest, self.full_text, self.full_text_columns = limit, offset, nearest, full_text, full_text_columns
         self.prefilter, self.with_row_id, self.with_row_address = prefilter, with_row_id, with_row_address
         self.fragments, self.include_deleted, self.ordered, self.fast_search = fragments, include_deleted, ordered, fast_search
+        self.use_scalar_index = use_scalar_index
 
     def _source(self) -> DataFrame:
         df = self.table.scan(self.fragments, self.include_deleted)
@@ -57,24 +58,36 @@ class Scanner:
         if OFFSET in text:
             df = self.table.with_offsets(df)
         if self.with_row_address or ROWADDR in text:
-            df = df.withColumn(ROWADDR, F.col(ROWID))
+            df = self.table.with_addresses(df)
         return df
 
     def _filtered(self, df: DataFrame) -> DataFrame:
         return df if self.filter is None else df.filter(predicate(self.filter, df))
 
+    def _indexed(self, df: DataFrame) -> DataFrame:
+        """The source, narrowed by the scalar indices that the filter meets; the filter itself still has to be applied."""
+        from . import indices
+
+        if not isinstance(self.filter, str) or not self.use_scalar_index or self.fragments is not None or self.include_deleted or ROWADDR in df.columns or OFFSET in df.columns:
+            return df
+        found = indices.candidates(self.table, rewrite(self.filter, df))
+        return df if found is None else indices.fetch(self.table, *found)
+
     def _searched(self) -> DataFrame:
-        from . import fts, vector
+        from . import fts, indices, vector
 
         df = self._source()
         early = self.prefilter or (self.nearest is None and self.full_text is None)
         if early:
-            df = self._filtered(df)
+            df = self._filtered(self._indexed(df))
         if self.nearest is not None:
-            df = vector.nearest(df, table=self.table, fast_search=self.fast_search, **self.nearest)
+            df = vector.nearest(df, table=self.table, fast_search=self.fast_search, masked=early and self.filter is not None, **self.nearest)
         elif self.full_text is not None:
             columns = self.full_text_columns or [f.name for f in self.table.schema if f.dataType.simpleString() == "string"]
-            df = fts.search(df, self.full_text, columns, limit=self.limit if early or self.filter is None else None)
+            stored = indices.stored_postings(self.table, columns) if self.fragments is None and not self.include_deleted else {}
+            if early and self.filter is not None:  # statistics are those of the rows that the filter leaves
+                stored = {c: p.join(df.select(ROWID), ROWID, "left_semi") for c, p in stored.items()}
+            df = fts.search(df, self.full_text, columns, limit=self.limit if early or self.filter is None else None, stored=stored)
         return df if early else self._filtered(df)
 
     def to_df(self) -> DataFrame:

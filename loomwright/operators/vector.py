@@ -5,16 +5,18 @@ Results are in the order of distance, then row id; null and non-finite distances
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import distance as D
-from ..sources.table import DISTANCE, ROWID, TableError
+from ..sources.table import DISTANCE, POINTS, ROWID, TableError
 
 
 def _check(df: DataFrame, column: str, q: Sequence[float], k: int) -> None:
@@ -81,12 +83,15 @@ QUERY_BLOCK = 4096
 
 def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The rows of a list column that are whole and finite: places and matrix."""
-    lists = column.to_pylist()
-    width = max((len(x) for x in lists if x), default=0)
-    ok = [i for i, x in enumerate(lists) if x is not None and len(x) == width and None not in x]
-    m = np.array([lists[i] for i in ok], np.float64).reshape(len(ok), width)
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sizes = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    width = int(sizes.max(initial=0))
+    ok = np.flatnonzero((sizes == width) & (width > 0))
+    values = column.take(pa.array(ok)).flatten().cast(pa.float64()).fill_null(float("nan"))
+    m = values.to_numpy(zero_copy_only=False).reshape(len(ok), width)
     good = np.isfinite(m).all(1)
-    return np.array(ok, np.int64)[good], m[good]
+    return ok[good], m[good]
 
 
 def batch(df: DataFrame, column: str, queries: DataFrame, query_id: str, query_vector: str, k: int, metric: str = "l2", key: str = ROWID) -> DataFrame:
@@ -94,11 +99,14 @@ def batch(df: DataFrame, column: str, queries: DataFrame, query_id: str, query_v
 
     The queries are fetched in blocks of QUERY_BLOCK; a block goes to every task, whose matrix product keeps k rows a query, so what is shuffled
     is k rows per query and task."""
-    ids = [r[0] for r in queries.select(query_id).orderBy(query_id).collect()]
+    total = queries.count()
+    parts = max(1, -(-2 * total // QUERY_BLOCK))
     out = None
-    for lo in range(0, len(ids), QUERY_BLOCK):
-        some = ids[lo : lo + QUERY_BLOCK]
-        block = queries.filter(F.col(query_id).between(some[0], some[-1])).select(query_id, query_vector).orderBy(query_id).collect()
+    for part in range(parts):  # hash blocks: about half of QUERY_BLOCK each
+        mine = queries.filter(F.pmod(F.xxhash64(query_id), F.lit(parts)) == part) if parts > 1 else queries
+        block = mine.select(query_id, query_vector).orderBy(query_id).collect()
+        if not block:
+            continue
         q, names = np.array([r[1] for r in block], np.float64), [r[0] for r in block]
 
         def run(batches: Iterator[pa.RecordBatch], q=q, names=names) -> Iterator[pa.RecordBatch]:
@@ -107,9 +115,18 @@ def batch(df: DataFrame, column: str, queries: DataFrame, query_id: str, query_v
             for b in batches:
                 at, m = _matrix(b.column(1))
                 keys = b.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)[at]
-                for s in range(0, len(m), 8192):
-                    d = np.concatenate([best_d, _kernel(metric, m[s : s + 8192], q).T], axis=1)
-                    i = np.concatenate([best_i, np.broadcast_to(keys[s : s + 8192], (len(q), len(keys[s : s + 8192])))], axis=1)
+                for s in range(0, len(m), 1024):
+                    d = _kernel(metric, m[s : s + 1024], q).T
+                    new = keys[s : s + 1024]
+                    n = min(k, len(new))
+                    if n < len(new):  # the nearest n, and all that tie with the last of them
+                        last = np.partition(d, n - 1, axis=1)[:, n - 1 : n]
+                        n = int((d <= last).sum(axis=1).max())
+                        pick = np.argpartition(d, n - 1, axis=1)[:, :n] if n < len(new) else np.broadcast_to(np.arange(len(new)), d.shape)
+                    else:
+                        pick = np.broadcast_to(np.arange(len(new)), d.shape)
+                    d = np.concatenate([best_d, np.take_along_axis(d, pick, 1)], axis=1)
+                    i = np.concatenate([best_i, new[pick]], axis=1)
                     order = np.lexsort((i, d), axis=1)[:, :k]
                     best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
             n = best_d.shape[1]
@@ -117,9 +134,9 @@ def batch(df: DataFrame, column: str, queries: DataFrame, query_id: str, query_v
 
         found = df.select(F.col(key).cast("long"), column).mapInArrow(run, f"q long, key long, {DISTANCE} double")
         ranked = found.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct(DISTANCE, "key"))), 1, k).alias("top")).select("q", F.posexplode("top").alias("rank", "hit"))
-        name = F.element_at(F.array(*(F.lit(n) for n in names)), (F.col("q") + 1).cast("int"))
-        part = ranked.select(name.alias(query_id), F.col("hit.key").alias(key), F.col(f"hit.{DISTANCE}").alias(DISTANCE), (F.col("rank") + 1).alias("rank"))
-        out = part if out is None else out.unionByName(part)
+        name = df.sparkSession.createDataFrame(list(enumerate(names)), T.StructType([T.StructField("q", T.LongType()), T.StructField("_name", queries.schema[query_id].dataType)]))
+        found = ranked.join(F.broadcast(name), "q").select(F.col("_name").alias(query_id), F.col("hit.key").alias(key), F.col(f"hit.{DISTANCE}").alias(DISTANCE), (F.col("rank") + 1).alias("rank"))
+        out = found if out is None else out.unionByName(found)
     return out
 
 
@@ -175,14 +192,30 @@ class IvfModel:
             low, high = self.bounds
             codes = np.clip(np.round((m - low) / max(high - low, 1e-12) * 255), 0, 255).astype(np.uint8)
         elif self.kind == "rq":
-            res = m - self.centres[part]
-            codes = np.packbits(res @ self.rotation > 0, axis=1)
-            size = np.linalg.norm(res, axis=1).astype(np.float32)
-            return [c.tobytes() + s.tobytes() for c, s in zip(codes, size)]
+            res = (m - self.centres[part]) @ self.rotation
+            codes = np.packbits(res > 0, axis=1)
+            size = np.linalg.norm(res, axis=1)
+            # how far the signs point the vector's way: the estimate of a product is divided by it
+            along = np.abs(res).sum(axis=1) / np.maximum(size, 1e-12) / np.sqrt(res.shape[1])
+            return [c.tobytes() + s.tobytes() for c, s in zip(codes, np.stack([size, along], axis=1).astype(np.float32))]
         else:
-            return [b""] * len(m)
+            codes = m.astype(np.float32)
         return [c.tobytes() for c in codes]
 
+    def to_json(self) -> dict:
+        """Plain values: arrays as base64 of their bytes."""
+        def plain(x):
+            return {"shape": list(x.shape), "data": base64.b64encode(np.ascontiguousarray(x, np.float64).tobytes()).decode()} if isinstance(x, np.ndarray) else x
+
+        return {f.name: plain(getattr(self, f.name)) for f in fields(self)}
+
+    @staticmethod
+    def from_json(body: dict) -> IvfModel:
+        def array(x):
+            return np.frombuffer(base64.b64decode(x["data"]), np.float64).reshape(x["shape"]) if isinstance(x, dict) else tuple(x) if isinstance(x, list) else x
+
+        return IvfModel(**{k: array(v) for k, v in body.items()})
+
     def estimate(self, codes: list[bytes], part: int, q: np.ndarray) -> np.ndarray:
         """Distances of a query to codes of one partition."""
         n = len(codes)
@@ -195,12 +228,14 @@ class IvfModel:
             low, high = self.bounds
             m = np.frombuffer(b"".join(codes), np.uint8).reshape(n, -1) / 255 * (high - low) + low
             return _kernel("l2", m, q[None, :])[:, 0]
+        if self.kind == "flat":
+            return _kernel("dot" if self.metric == "dot" else "l2", np.frombuffer(b"".join(codes), np.float32).reshape(n, -1).astype(np.float64), q[None, :])[:, 0]
         d = len(q)
         raw = np.frombuffer(b"".join(codes), np.uint8).reshape(n, -1)
-        signs = np.unpackbits(raw[:, :-4], axis=1)[:, :d].astype(np.float64) * 2 - 1
-        size = np.ascontiguousarray(raw[:, -4:]).view(np.float32).ravel().astype(np.float64)
+        signs = np.unpackbits(raw[:, :-8], axis=1)[:, :d].astype(np.float64) * 2 - 1
+        size, along = np.ascontiguousarray(raw[:, -8:]).view(np.float32).reshape(n, 2).T.astype(np.float64)
         res = (q - self.centres[part]) @ self.rotation
-        dot = signs @ res / np.sqrt(d) / np.sqrt(2 / np.pi)
+        dot = signs @ res / np.sqrt(d) / np.maximum(along, 1e-6)
         return np.maximum(size**2 + float(res @ res) - 2 * size * dot, 0)
 
 
@@ -212,8 +247,7 @@ def train(df: DataFrame, column: str, partitions: int, metric: str = "l2", kind:
     rows = df.filter(D.finite(F.col(column)))
     total = rows.count()
     part = rows if total <= want else rows.sample(min(1.0, 1.2 * want / total), seed)
-    sample = part.select(column).limit(want).toArrow().column(0)
-    m = _matrix(sample.combine_chunks() if hasattr(sample, "combine_chunks") else sample)[1]
+    m = _matrix(part.select(column).limit(want).toArrow().column(0))[1]
     if len(m) == 0:
         raise TableError("no vectors to train on")
     model = IvfModel(metric, np.zeros((1, m.shape[1])), kind)
@@ -260,30 +294,58 @@ def probes(model: IvfModel, q: Sequence[float], nprobes: int, k: int, maximum: i
     return [int(p) for i, p in enumerate(order[:most]) if i < nprobes or (maximum is not None and d[p] <= factor * d[order[0]])]
 
 
-def search(df: DataFrame, lists: DataFrame, model: IvfModel, column: str, q: Sequence[float], k: int, nprobes: int = 20, maximum_nprobes: int | None = None, refine: int | None = None, distance_range=None, key: str = ROWID) -> DataFrame:
-    """The k nearest among the probed partitions. Without codes distances are exact; with codes the best k * refine are measured again."""
-    parts = probes(model, q, nprobes, k, maximum_nprobes)
-    near = lists.filter(F.col("part_id").isin(parts))
-    if model.kind != "flat":
-        point = model.prepare(np.array(q, np.float64)[None, :])[0]
+#: Rows beyond k that a list of whole vectors gives, whose distances are single precision.
+SPARE = 32
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                ids = b.column(1).to_numpy(zero_copy_only=False)
-                out = np.zeros(b.num_rows)
-                codes = b.column(2).to_pylist()
-                for p in np.unique(ids):
-                    at = np.flatnonzero(ids == p)
-                    out[at] = model.estimate([codes[i] for i in at], int(p), point)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], [key, "_estimate"])
 
-        near = near.select(key, "part_id", "code").mapInArrow(run, f"{key} long, _estimate double").orderBy("_estimate", key).limit(k * max(1, refine or 1))
-    rows = df.join(near.select(key), key, "left_semi")
+def near_ids(lists: DataFrame, model: IvfModel, q: Sequence[float], n: int, parts: Sequence[int], mask: DataFrame | None = None, key: str = ROWID) -> DataFrame:
+    """The n row ids of the probed partitions whose codes are nearest. mask: the row ids that may be found at all."""
+    near = lists.filter(F.col("part_id").isin(list(parts)))
+    if mask is not None:
+        near = near.join(mask.select(key), key, "left_semi")
+    point = model.prepare(np.array(q, np.float64)[None, :])[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(1).to_numpy(zero_copy_only=False)
+            out = np.zeros(b.num_rows)
+            codes = b.column(2).to_pylist()
+            for p in np.unique(ids):
+                at = np.flatnonzero(ids == p)
+                out[at] = model.estimate([codes[i] for i in at], int(p), point)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], [key, "_estimate"])
+
+    return near.select(key, "part_id", "code").mapInArrow(run, f"{key} long, _estimate double").orderBy("_estimate", key).limit(n).select(key)
+
+
+def search(df: DataFrame, lists: DataFrame, model: IvfModel, column: str, q: Sequence[float], k: int, nprobes: int = 20, maximum_nprobes: int | None = None, refine: int | None = None, distance_range=None, key: str = ROWID, masked: bool = False, fetch=None) -> DataFrame:
+    """The k nearest among the probed partitions: the best k * refine by code are measured again on their vectors.
+
+    masked: `df` holds the rows that a filter allows, and they alone are ranked; partitions are added until k of them are there.
+    fetch: gives the rows of up to POINTS row ids without reading the table."""
+    want = k * max(1, refine or 1) + (SPARE if model.kind == "flat" else 0)
+    parts = probes(model, q, nprobes, k, maximum_nprobes)
+    mask = df if masked else None
+    if masked and len(parts) < len(model.centres):
+        # the late stage: a selective filter may leave fewer than k rows in the nearest partitions
+        sizes = dict(lists.join(df.select(key), key, "left_semi").groupBy("part_id").count().collect())  # a row per partition
+        order = probes(model, q, len(model.centres), k)
+        n = len(parts)
+        while n < len(order) and sum(sizes.get(p, 0) for p in order[:n]) < k:
+            n += 1
+        parts = order[:n]
+    near = near_ids(lists, model, q, want, parts, mask, key)
+    if fetch is not None and want <= POINTS:
+        ids = [r[0] for r in near.collect()]  # k * refine ids
+        rows = fetch(ids)
+        rows = rows.join(df.select(key), key, "left_semi") if masked else rows
+    else:
+        rows = df.join(near, key, "left_semi")
     return flat(rows, column, q, k, model.metric, distance_range, key)
 
 
-def nearest(df: DataFrame, column: str, q: Sequence[float], k: int = 10, metric: str | None = None, nprobes: int = 20, maximum_nprobes: int | None = None, refine: int | None = None, use_index: bool = True, distance_range=None, table=None, fast_search: bool = False) -> DataFrame:
-    """What `Scanner` asks for: by index where there is one, with rows the index doesn't cover searched exactly and merged."""
+def nearest(df: DataFrame, column: str, q: Sequence[float], k: int = 10, metric: str | None = None, nprobes: int = 20, minimum_nprobes: int | None = None, maximum_nprobes: int | None = None, refine: int | None = None, use_index: bool = True, distance_range=None, table=None, fast_search: bool = False, masked: bool = False) -> DataFrame:
+    """What `Scanner` asks for: by index where there is one, with rows the index doesn't cover searched exactly and merged. masked: a filter came before."""
     if q and isinstance(q[0], (list, tuple)):
         return flat_multivector(df, column, q, k, metric or "cosine")
     _check(df, column, q, k)
@@ -299,12 +361,58 @@ def nearest(df: DataFrame, column: str, q: Sequence[float], k: int = 10, metric:
     model, lists = indices.load_vector(table, entry)
     if metric not in (None, model.metric):
         return flat(df, column, q, k, metric, distance_range)
-    covered = F.shiftright(ROWID, 32).isin(entry["fragments"])
-    found = search(df.filter(covered), lists, model, column, q, k, nprobes, maximum_nprobes, refine, distance_range)
-    fresh = [f["id"] for f in table.snapshot.fragments if f["id"] not in set(entry["fragments"])]
+    fresh = indices.uncovered(table, entry)
+    covered = F.shiftright(ROWID, 32).isin(entry["fragments"]) if fresh else F.lit(True)
+    plain = not masked and set(df.columns) == set(table.scan().columns)
+    found = search(df.filter(covered), lists, model, column, q, k, minimum_nprobes or nprobes, maximum_nprobes, refine, distance_range, masked=masked, fetch=table.rows_of if plain or masked else None)
     if fast_search or not fresh:
         return found
-    return found.unionByName(flat(df.filter(~covered), column, q, k, model.metric, distance_range)).orderBy(DISTANCE, ROWID).limit(k)
+    rest = flat(df.filter(~covered), column, q, k, model.metric, distance_range)
+    return found.unionByName(rest.select(found.columns)).orderBy(DISTANCE, ROWID).limit(k)
+
+
+def search_batch(df: DataFrame, lists: DataFrame, model: IvfModel, column: str, queries: DataFrame, query_id: str, query_vector: str, k: int, nprobes: int = 20, refine: int = 1, key: str = ROWID) -> DataFrame:
+    """The k nearest rows of every query by index: (query_id, key, _distance, rank).
+
+    Blocks of queries go to every task; a task ranks the codes of the partitions that a query probes, and what is shuffled is k * refine rows a query and
+    task. The best k * refine of a query are measured again on their vectors."""
+    want = k * max(1, refine) + (SPARE if model.kind == "flat" else 0)
+    parts = max(1, -(-2 * queries.count() // QUERY_BLOCK))
+    out = None
+    for part in range(parts):
+        mine = queries.filter(F.pmod(F.xxhash64(query_id), F.lit(parts)) == part) if parts > 1 else queries
+        block = mine.select(query_id, query_vector).orderBy(query_id).collect()
+        if not block:
+            continue
+        q = model.prepare(np.array([r[1] for r in block], np.float64))
+        near = np.argsort(_kernel("l2", q, model.centres), axis=1, kind="stable")[:, :nprobes]
+        asks = {int(p): np.flatnonzero((near == p).any(axis=1)) for p in np.unique(near)}
+
+        def run(batches: Iterator[pa.RecordBatch], q=q, asks=asks) -> Iterator[pa.RecordBatch]:
+            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for b in batches:
+                ids, keys, codes = b.column(1).to_numpy(zero_copy_only=False), b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_pylist()
+                for p in np.unique(ids):
+                    at = np.flatnonzero(ids == p)
+                    some = [codes[i] for i in at]
+                    for i in asks.get(int(p), ()):
+                        d, rows = model.estimate(some, int(p), q[i]), keys[at]
+                        if int(i) in best:
+                            d, rows = np.concatenate([best[int(i)][0], d]), np.concatenate([best[int(i)][1], rows])
+                        order = np.lexsort((rows, d))[:want]
+                        best[int(i)] = d[order], rows[order]
+            for i, (d, rows) in best.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), i)), pa.array(rows), pa.array(d)], ["q", "key", "estimate"])
+
+        found = lists.filter(F.col("part_id").isin(list(asks))).select(key, "part_id", "code").mapInArrow(run, "q long, key long, estimate double")
+        top = found.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct("estimate", "key"))), 1, want).alias("top")).select("q", F.explode("top.key").alias(key))
+        schema = T.StructType([T.StructField("q", T.LongType()), T.StructField("_name", queries.schema[query_id].dataType), T.StructField("_vector", T.ArrayType(T.DoubleType()))])
+        names = df.sparkSession.createDataFrame([(i, r[0], [float(x) for x in r[1]]) for i, r in enumerate(block)], schema)
+        exact = df.select(key, column).join(top, key).join(F.broadcast(names), "q").withColumn(DISTANCE, D.distance(model.metric, F.col(column), F.col("_vector")))
+        ranked = exact.groupBy("_name").agg(F.slice(F.sort_array(F.collect_list(F.struct(DISTANCE, key))), 1, k).alias("top")).select("_name", F.posexplode("top").alias("rank", "hit"))
+        ranked = ranked.select(F.col("_name").alias(query_id), F.col(f"hit.{key}").alias(key), F.col(f"hit.{DISTANCE}").alias(DISTANCE), (F.col("rank") + 1).alias("rank"))
+        out = ranked if out is None else out.unionByName(ranked)
+    return out
 
 
 def recall(found: Sequence[int], truth: Sequence[int]) -> float:

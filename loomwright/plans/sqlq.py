@@ -35,7 +35,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "join_right": "SELECT c_custkey, o_orderkey FROM orders RIGHT JOIN customer ON c_custkey = o_custkey AND o_orderstatus = 'P'",
     "join_full": "SELECT s_suppkey, c_custkey FROM (SELECT * FROM supplier WHERE s_nationkey < 15) s FULL OUTER JOIN (SELECT * FROM customer WHERE c_custkey < 400) c ON s_suppkey = c_custkey",
     "join_semi": ("SELECT c_custkey FROM customer LEFT SEMI JOIN orders ON c_custkey = o_custkey", "SELECT c_custkey FROM customer SEMI JOIN orders ON c_custkey = o_custkey"),
-    "join_anti": ("SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey", "SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey"),
+    "join_anti": ("SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey AND o_custkey % 3 <> 0", "SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey AND o_custkey % 3 <> 0"),
     "join_cross": "SELECT r_name, n_name FROM region CROSS JOIN nation",
     "join_natural": "SELECT r_regionkey, r_name, n FROM region NATURAL JOIN (SELECT n_regionkey AS r_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey) x",
     "join_theta": "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
@@ -75,10 +75,10 @@ SQL: dict[str, str | tuple[str, str]] = {
     "unnest_values": ("SELECT label, count(*) AS n, round(sum(x), 3) AS s FROM (SELECT label, explode(embedding) AS x FROM embeddings) t GROUP BY label", "SELECT label, count(*) AS n, round(sum(CAST(x AS DOUBLE)), 3) AS s FROM (SELECT label, unnest(embedding) AS x FROM embeddings) t GROUP BY label"),
     # functions
     "fn_string": ("SELECT p_partkey, lower(p_name) AS lo, upper(p_name) AS up, trim(concat('  ', p_name, ' ')) AS tr, char_length(p_name) AS cl, octet_length(p_name) AS ol, substr(p_name, 2, 3) AS ss, left(p_name, 3) AS le, right(p_name, 3) AS ri, lpad(p_name, 30, '*') AS lp, rpad(p_name, 30, '-') AS rp, replace(p_name, 'a', 'X') AS re, translate(p_name, 'abc', 'xyz') AS tl, reverse(p_name) AS rv, repeat(p_brand, 2) AS rt, split_part(p_name, ' ', 1) AS sp, strpos(p_name, 'e') AS st, startswith(p_name, 'a') AS sw, endswith(p_name, 'e') AS ew, contains(p_name, 'ee') AS ct, concat_ws('-', p_brand, p_name) AS cw, initcap(lower(p_name)) IS NOT NULL AS ic, ascii(p_name) AS asc, chr(65 + p_size % 20) AS ch, levenshtein(p_name, p_brand) AS lv, to_hex(p_partkey) AS hx FROM part", "SELECT p_partkey, lower(p_name) AS lo, upper(p_name) AS up, trim(concat('  ', p_name, ' ')) AS tr, length(p_name) AS cl, octet_length(encode(p_name)) AS ol, substr(p_name, 2, 3) AS ss, left(p_name, 3) AS le, right(p_name, 3) AS ri, lpad(p_name, 30, '*') AS lp, rpad(p_name, 30, '-') AS rp, replace(p_name, 'a', 'X') AS re, translate(p_name, 'abc', 'xyz') AS tl, reverse(p_name) AS rv, repeat(p_brand, 2) AS rt, split_part(p_name, ' ', 1) AS sp, strpos(p_name, 'e') AS st, starts_with(p_name, 'a') AS sw, ends_with(p_name, 'e') AS ew, contains(p_name, 'ee') AS ct, concat_ws('-', p_brand, p_name) AS cw, TRUE AS ic, ascii(p_name) AS asc, chr(CAST(65 + p_size % 20 AS INT)) AS ch, levenshtein(p_name, p_brand) AS lv, lower(to_hex(p_partkey)) AS hx FROM part"),
-    "fn_regex": ("SELECT doc_id, regexp_replace(substr(text, 1, 200), '[aeiou]+', '_') AS r, regexp_count(substr(text, 1, 200), 'th') AS c, regexp_extract(text, '([A-Z][a-z]+)', 1) AS f, size(regexp_extract_all(substr(text, 1, 200), '[a-z]+ing', 0)) AS n FROM documents", "SELECT doc_id, regexp_replace(substr(text, 1, 200), '[aeiou]+', '_', 'g') AS r, len(regexp_extract_all(substr(text, 1, 200), 'th')) AS c, regexp_extract(text, '([A-Z][a-z]+)', 1) AS f, len(regexp_extract_all(substr(text, 1, 200), '[a-z]+ing')) AS n FROM documents"),
+    "fn_regex": ("SELECT doc_id, md5(regexp_replace(text, '[aeiou]+', '_')) AS r, regexp_count(text, 'th') AS c, regexp_extract(text, '([A-Z][a-z]+)', 1) AS f, size(regexp_extract_all(text, '[a-z]+ing', 0)) AS n FROM documents", "SELECT doc_id, md5(regexp_replace(text, '[aeiou]+', '_', 'g')) AS r, len(regexp_extract_all(text, 'th')) AS c, regexp_extract(text, '([A-Z][a-z]+)', 1) AS f, len(regexp_extract_all(text, '[a-z]+ing')) AS n FROM documents"),
     "fn_datetime": ("SELECT o_orderkey, date_trunc('month', o_orderdate) AS m, extract(year FROM o_orderdate) AS y, extract(dow FROM o_orderdate) - 1 AS dw, extract(doy FROM o_orderdate) AS dy, CAST(o_orderdate AS DATE) AS d, datediff(CAST(o_orderdate AS DATE), DATE '1992-01-01') AS dd, o_orderdate + INTERVAL 3 DAYS AS plus, make_date(2020, 2, 29) AS md, unix_timestamp(o_orderdate) AS u, timestamp_seconds(floor(unix_timestamp(o_orderdate) / 604800) * 604800) AS bin FROM orders", "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS m, extract(year FROM o_orderdate) AS y, extract(dow FROM o_orderdate) AS dw, extract(doy FROM o_orderdate) AS dy, CAST(o_orderdate AS DATE) AS d, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS dd, o_orderdate + INTERVAL 3 DAY AS plus, make_date(2020, 2, 29) AS md, CAST(epoch(o_orderdate) AS BIGINT) AS u, make_timestamp(CAST(floor(epoch(o_orderdate) / 604800) * 604800000000 AS BIGINT)) AS bin FROM orders"),
     "fn_math": ("SELECT p_partkey, abs(p_size - 25) AS ab, ceil(p_retailprice) AS ce, floor(p_retailprice) AS fl, round(p_retailprice, 1) AS ro, round(sqrt(p_retailprice), 6) AS sq, round(cbrt(p_retailprice), 6) AS cb, round(power(p_size, 1.5), 4) AS po, round(exp(p_size / 10.0), 4) AS ex, round(ln(p_retailprice), 6) AS l, round(log10(p_retailprice), 6) AS l10, round(log2(p_retailprice), 6) AS l2, round(sin(p_size), 6) AS si, sign(p_size - 25) AS sg, factorial(CAST(p_size % 10 AS INT)) AS fa, isnan(p_retailprice) AS na, round(pi(), 6) AS p FROM part", "SELECT p_partkey, abs(p_size - 25) AS ab, CAST(ceil(p_retailprice) AS BIGINT) AS ce, CAST(floor(p_retailprice) AS BIGINT) AS fl, round(p_retailprice, 1) AS ro, round(sqrt(p_retailprice), 6) AS sq, round(cbrt(p_retailprice), 6) AS cb, round(power(p_size, 1.5), 4) AS po, round(exp(p_size / 10.0), 4) AS ex, round(ln(p_retailprice), 6) AS l, round(log10(p_retailprice), 6) AS l10, round(log2(p_retailprice), 6) AS l2, round(sin(p_size), 6) AS si, CAST(sign(p_size - 25) AS DOUBLE) AS sg, CAST(factorial(CAST(p_size % 10 AS INT)) AS BIGINT) AS fa, isnan(p_retailprice) AS na, round(pi(), 6) AS p FROM part"),
-    "fn_array": ("SELECT doc_id, size(w) AS n, array_has(w, 'the') AS h, array_has_any(w, array('and', 'of')) AS ha, array_has_all(w, array('the', 'of')) AS hl, array_position(w, 'the') AS p, size(array_distinct(w)) AS d, array_join(slice(w, 2, 3), ',') AS s, element_at(w, 1) AS f, array_join(sort_array(array_distinct(slice(w, 1, 5))), ',') AS so, array_join(array_remove(slice(w, 1, 5), 'the'), ',') AS rm, array_join(array_append(slice(w, 1, 2), 'z'), ',') AS ap, array_join(flatten(array(slice(w, 1, 2), slice(w, 1, 1))), ',') AS fl, size(array_union(slice(w, 1, 6), array('the'))) AS un, size(array_intersect(w, array('the', 'of'))) AS it FROM (SELECT doc_id, split(lower(substr(text, 1, 400)), ' ') AS w FROM documents) t", "SELECT doc_id, len(w) AS n, list_contains(w, 'the') AS h, list_has_any(w, ['and', 'of']) AS ha, list_has_all(w, ['the', 'of']) AS hl, coalesce(list_position(w, 'the'), 0) AS p, len(list_distinct(w)) AS d, array_to_string(w[2:4], ',') AS s, w[1] AS f, array_to_string(list_sort(list_distinct(w[1:5])), ',') AS so, array_to_string(list_filter(w[1:5], lambda x: x <> 'the'), ',') AS rm, array_to_string(list_append(w[1:2], 'z'), ',') AS ap, array_to_string(flatten([w[1:2], w[1:1]]), ',') AS fl, len(list_distinct(list_concat(w[1:6], ['the']))) AS un, len(list_intersect(w, ['the', 'of'])) AS it FROM (SELECT doc_id, string_split(lower(substr(text, 1, 400)), ' ') AS w FROM documents) t"),
+    "fn_array": ("SELECT doc_id, size(w) AS n, array_has(w, 'the') AS h, array_has_any(w, array('and', 'of')) AS ha, array_has_all(w, array('the', 'of')) AS hl, array_position(w, 'the') AS p, size(array_distinct(w)) AS d, array_join(slice(w, 2, 3), ',') AS s, element_at(w, 1) AS f, array_join(sort_array(array_distinct(slice(w, 1, 5))), ',') AS so, array_join(array_remove(slice(w, 1, 5), 'the'), ',') AS rm, array_join(array_append(slice(w, 1, 2), 'z'), ',') AS ap, array_join(flatten(array(slice(w, 1, 2), slice(w, 1, 1))), ',') AS fl, size(array_union(slice(w, 1, 6), array('the'))) AS un, size(array_intersect(w, array('the', 'of'))) AS it FROM (SELECT doc_id, split(lower(text), ' ') AS w FROM documents) t", "SELECT doc_id, len(w) AS n, list_contains(w, 'the') AS h, list_has_any(w, ['and', 'of']) AS ha, list_has_all(w, ['the', 'of']) AS hl, coalesce(list_position(w, 'the'), 0) AS p, len(list_distinct(w)) AS d, array_to_string(w[2:4], ',') AS s, w[1] AS f, array_to_string(list_sort(list_distinct(w[1:5])), ',') AS so, array_to_string(list_filter(w[1:5], lambda x: x <> 'the'), ',') AS rm, array_to_string(list_append(w[1:2], 'z'), ',') AS ap, array_to_string(flatten([w[1:2], w[1:1]]), ',') AS fl, len(list_distinct(list_concat(w[1:6], ['the']))) AS un, len(list_intersect(w, ['the', 'of'])) AS it FROM (SELECT doc_id, string_split(lower(text), ' ') AS w FROM documents) t"),
     "fn_conditional": "SELECT c_custkey, coalesce(nullif(c_nationkey, 3), -1) AS co, greatest(c_nationkey, 10) AS g, least(c_nationkey, 10) AS l, nullif(c_nationkey, 4) AS nf FROM customer",
     "fn_hash_encode": ("SELECT c_custkey, md5(c_name) AS m, sha2(c_name, 256) AS s, base64(encode(c_name, 'utf-8')) AS b, hex(encode(c_name, 'utf-8')) AS h FROM customer", "SELECT c_custkey, md5(c_name) AS m, sha256(c_name) AS s, base64(encode(c_name)) AS b, hex(encode(c_name)) AS h FROM customer"),
     "fn_struct": ("SELECT n_nationkey, s.name AS name, s.k AS k, size(array(s.k, 1, 2)) AS n FROM (SELECT n_nationkey, named_struct('name', n_name, 'k', n_regionkey) AS s FROM nation) t", "SELECT n_nationkey, s.name AS name, s.k AS k, len([s.k, 1, 2]) AS n FROM (SELECT n_nationkey, {'name': n_name, 'k': n_regionkey} AS s FROM nation) t"),

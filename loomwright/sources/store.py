@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+#: Schemes besides local files whose rename fails if the target exists, and is one step.
+_ATOMIC = ("hdfs", "viewfs", "abfs", "abfss")
+
+
 class Store:
     """Small text files below a root, on any Hadoop file system. `create` fails if the file exists."""
 
@@ -63,6 +67,9 @@ class Store:
                 won = False
             self.delete(draft)
             return won
+        if where.toUri().getScheme() not in _ATOMIC:
+            self.delete(draft)
+            raise ValueError(f"{where.toUri().getScheme()} has no atomic rename: two writers could both commit")
         if self.exists(name) or not self._fs.rename(self._path(draft), where):
             self.delete(draft)
             return False

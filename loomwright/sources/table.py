@@ -6,7 +6,10 @@ write data first and commit by creating the next manifest, which only one of the
 what the winner did and rebases if the two operations commute.
 
 Every stored row has `_rowid` (fragment << 32 | place, kept by compaction) and the versions that created and last
-updated it. Reading is one Parquet scan of the files, an anti join with the deletion files if there are any,
+updated it. Writers guess the next fragment id and version; a commit that another writer overtook records by how much the
+guess was off (`shift`, `planned`, `became` of its fragments), and reading adds it, so ids are never given twice. `origins` of a
+fragment are the upper halves of its row ids, if compaction brought rows of other fragments into it.
+Reading is one Parquet scan of the files, an anti join with the deletion files of those fragments that lost rows,
 and a projection; filters and columns reach the scan.
 """
 
@@ -27,6 +30,8 @@ from .store import Store
 ROWID, ROWADDR, OFFSET, CREATED, UPDATED, SCORE, DISTANCE = "_rowid", "_rowaddr", "_rowoffset", "_row_created_at_version", "_row_last_updated_at_version", "_score", "_distance"
 SYSTEM = (ROWID, CREATED, UPDATED)
 MAX_ROWS = 1 << 20
+#: Row ids that are looked up one by one; more are joined.
+POINTS = 1024
 
 
 class TableError(ValueError):
@@ -133,7 +138,7 @@ class Table:
         out = []
         for name in self.store.list(self._folder(self.branch)):
             body = self.store.read(f"{self._folder(self.branch)}/{name}")
-            out.append({k: body[k] for k in ("version", "timestamp", "operation")} | {"rows": sum(f["rows"] for f in body["fragments"]) - sum(d["rows"] for d in body["deletions"])})
+            out.append({k: body[k] for k in ("version", "timestamp", "operation")} | {"rows": sum(f["rows"] for f in body["fragments"]) - body["deleted_rows"]})
         return out
 
     @property
@@ -191,7 +196,7 @@ class Table:
             if mode == "append":
                 return table.append(df, max_rows_per_file)
             return table.overwrite(df, max_rows_per_file)
-        empty = {"version": 0, "timestamp": 0.0, "operation": "create", "fields": _fields(df.schema), "fragments": [], "deletions": [], "next_fragment": 0, "config": {}, "metadata": {}, "indices": [], "bases": [base] if base else []}
+        empty = {"version": 0, "timestamp": 0.0, "operation": "create", "fields": _fields(df.schema), "fragments": [], "deletions": [], "deleted_rows": 0, "next_fragment": 0, "config": {}, "metadata": {}, "indices": [], "bases": [base] if base else []}
         table = cls(spark, uri, Snapshot(empty))
         fragments = table._write_fragments(df, 1, 0, max_rows_per_file)
 
@@ -237,36 +242,42 @@ class Table:
                 out.append({"id": first + int(f.rsplit("/", 1)[1].split("-")[1]), "files": [f], "rows": rows})
         return out
 
-    def append(self, df: DataFrame, max_rows_per_file: int = MAX_ROWS) -> Table:
-        first = self.snapshot.body["next_fragment"] + 1_000 * (self.version % 1_000)
+    def append(self, df: DataFrame, max_rows_per_file: int = MAX_ROWS, config: dict[str, str] | None = None) -> Table:
+        """Adds rows; `config` entries enter the same commit."""
+        first = self.snapshot.body["next_fragment"]
         fragments = self._write_fragments(self._fit(df), self.version + 1, first, max_rows_per_file)
+        planned = self.version + 1
 
         def change(body: dict) -> None:
-            body["fragments"] = body["fragments"] + fragments
-            body["next_fragment"] = max(body["next_fragment"], _next(fragments, first))
+            place(body, fragments, first, planned)
+            body["config"] = body["config"] | (config or {})
 
         return self._commit("append", change)
 
     def overwrite(self, df: DataFrame, max_rows_per_file: int = MAX_ROWS) -> Table:
-        first = self.snapshot.body["next_fragment"]
+        first, planned = self.snapshot.body["next_fragment"], self.version + 1
         fresh = Table(self.spark, self.uri, Snapshot(self.snapshot.body | {"fields": _fields(df.schema)}), self.branch)
-        fragments = fresh._write_fragments(df, self.version + 1, first, max_rows_per_file)
+        fragments = fresh._write_fragments(df, planned, first, max_rows_per_file)
 
         def change(body: dict) -> None:
-            body |= {"fields": _fields(df.schema), "fragments": fragments, "deletions": [], "indices": [], "next_fragment": max(body["next_fragment"], _next(fragments, first))}
+            body |= {"fields": _fields(df.schema), "fragments": [], "deletions": [], "deleted_rows": 0, "indices": []}
+            place(body, fragments, first, planned)
 
         return self._commit("overwrite", change)
 
     def write_uncommitted(self, df: DataFrame) -> list[dict]:
-        """Fragments written by the executors and not yet part of the table."""
-        first = self.snapshot.body["next_fragment"] + 500_000 + int(uuid.uuid4().int % 100_000) * 16
-        return self._write_fragments(self._fit(df), self.version + 1, first)
+        """Fragments written by the executors and not yet part of the table; their ids count from 0 until they are committed."""
+        return [f | {"planned": self.version + 1} for f in self._write_fragments(self._fit(df), self.version + 1, 0)]
 
     def commit_fragments(self, fragments: Sequence[dict]) -> Table:
-        """Appends fragments written before, in one commit."""
+        """Appends fragments of any number of `write_uncommitted` calls, in one commit."""
+        calls: dict[str, list[dict]] = {}
+        for f in fragments:
+            calls.setdefault(f["files"][0].rpartition("/")[0], []).append(f)
+
         def change(body: dict) -> None:
-            body["fragments"] = body["fragments"] + list(fragments)
-            body["next_fragment"] = max(body["next_fragment"], _next(list(fragments), 0))
+            for own in calls.values():
+                place(body, own, 0, own[0]["planned"])
 
         return self._commit("append", change)
 
@@ -274,25 +285,55 @@ class Table:
 
     def scan(self, fragments: Sequence[int] | None = None, include_deleted: bool = False) -> DataFrame:
         """All rows with the system columns."""
+        wanted = None if fragments is None else set(fragments)
+        picked = [x for x in self.snapshot.fragments if wanted is None or x["id"] in wanted]
+        if not picked:
+            return self.spark.createDataFrame([], T.StructType([*self.snapshot.schema(), *(T.StructField(c, T.LongType()) for c in SYSTEM)]))
+        lost = {i for d in self.snapshot.body["deletions"] for i in d["fragments"]}
+        whole = [x for x in picked if not lost & origins(x)]
+        torn = [x for x in picked if lost & origins(x)]
+        out = self._read(whole) if whole else None
+        if torn:
+            part = self._without_deleted(self._read(torn), set().union(*map(origins, torn)), include_deleted)
+            out = part if out is None else out.union(part)
+        return out
+
+    def _read(self, fragments: list[dict]) -> DataFrame:
+        """The rows of fragments, deleted ones too: a scan for all that were committed as planned, and one for each other shift."""
         snap = self.snapshot
-        files = [f for x in snap.fragments if fragments is None or x["id"] in set(fragments) for f in x["files"]]
-        names = {f["physical"]: f["name"] for f in snap.fields}
-        if not files:
-            schema = T.StructType([*snap.schema(), *(T.StructField(c, T.LongType()) for c in SYSTEM)])
-            return self.spark.createDataFrame([], schema)
-        df = self.spark.read.schema(snap.physical()).parquet(*files)
-        df = df.select(*(F.col(f"`{p}`").alias(n) for p, n in names.items()), *SYSTEM)
-        gone = self._deleted()
-        if gone is None:
-            return df
+        names = [F.col(f"`{f['physical']}`").alias(f["name"]) for f in snap.fields]
+        groups: dict[tuple, list[str]] = {}
+        for x in fragments:
+            groups.setdefault((x.get("shift", 0), x.get("planned", 0), x.get("became", 0)), []).extend(x["files"])
+        out = None
+        for (shift, planned, became), files in groups.items():
+            df = self.spark.read.schema(snap.physical()).parquet(*files)
+            system = [F.col(c) for c in SYSTEM]
+            if shift:
+                system[0] = (F.col(ROWID) + F.lit(shift << 32)).alias(ROWID)
+            if planned != became:
+                system[1:] = [F.when(F.col(c) == planned, F.lit(became)).otherwise(F.col(c)).cast("long").alias(c) for c in (CREATED, UPDATED)]
+            df = df.select(*names, *system)
+            out = df if out is None else out.union(df)
+        return out
+
+    def _without_deleted(self, df: DataFrame, of: set[int], include_deleted: bool) -> DataFrame:
+        paths = [d["path"] for d in self.snapshot.body["deletions"] if of & set(d["fragments"])]
+        gone = self.spark.read.schema(f"{ROWID} long").parquet(*paths)
+        names = df.columns
         if include_deleted:
             gone = gone.withColumn("_gone", F.lit(True))
-            return df.join(gone, ROWID, "left").withColumn(ROWID, F.when(F.col("_gone").isNull(), F.col(ROWID))).select(*names.values(), *SYSTEM)
-        return df.join(gone, ROWID, "left_anti").select(*names.values(), *SYSTEM)
-
-    def _deleted(self) -> DataFrame | None:
-        paths = [d["path"] for d in self.snapshot.body["deletions"]]
-        return self.spark.read.schema(f"{ROWID} long").parquet(*paths) if paths else None
+            df = df.join(gone, ROWID, "left").withColumn(ROWID, F.when(F.col("_gone").isNull(), F.col(ROWID)))
+        else:
+            df = df.join(gone, ROWID, "left_anti")
+        return df.select(*(F.col(f"`{n}`") for n in names))
+
+    def rows_of(self, ids: Sequence[int]) -> DataFrame:
+        """The rows of some row ids, read from the files that can hold them."""
+        ids = sorted({int(i) for i in ids})
+        high = {i >> 32 for i in ids}
+        rows = self.scan([x["id"] for x in self.snapshot.fragments if high & origins(x)])
+        return rows.filter(F.col(ROWID).isin(ids))
 
     def to_df(self, columns: Sequence[str] | None = None) -> DataFrame:
         df = self.scan()
@@ -305,12 +346,12 @@ class Table:
 
     def sql(self, query: str, name: str = "dataset", with_row_id: bool = False) -> DataFrame:
         """Spark SQL over the table, registered under `name`."""
-        from ..functions.register import register
+        from ..functions.register import register, renamed
 
         register(self.spark)
         df = self.scan()
         (df if with_row_id else df.drop(*SYSTEM)).createOrReplaceTempView(name)
-        return self.spark.sql(query)
+        return self.spark.sql(renamed(query))
 
     def with_offsets(self, df: DataFrame | None = None) -> DataFrame:
         """Adds `_rowoffset`, the place of each live row in the order of row ids: fragments before it, then its place in its own."""
@@ -322,17 +363,34 @@ class Table:
         place = F.row_number().over(Window.partitionBy("_frag").orderBy(ROWID))
         return df.withColumn("_place", place).join(sizes, "_frag").withColumn(OFFSET, F.col("_before") + F.col("_place") - 1).drop("_frag", "_before", "_place")
 
+    def with_addresses(self, df: DataFrame) -> DataFrame:
+        """Adds `_rowaddr`: the fragment that holds the row now << 32 | the row's place among that fragment's live rows.
+
+        Without compaction that is the row id; a compacted fragment holds rows of several origins."""
+        address = F.col(ROWID)
+        moved = [f for f in self.snapshot.fragments if f.get("origins")]
+        if not moved:
+            return df.withColumn(ROWADDR, address)
+        place_in = F.row_number().over(Window.partitionBy("_f").orderBy(ROWID)) - 1
+        where = None
+        for f in moved:
+            part = self.scan([f["id"]]).select(ROWID, F.lit(f["id"]).cast("long").alias("_f"))
+            where = part if where is None else where.union(part)
+        where = where.select(ROWID, F.shiftleft("_f", 32).bitwiseOR(place_in.cast("long")).alias("_moved"))
+        return df.join(where, ROWID, "left").withColumn(ROWADDR, F.coalesce("_moved", address)).drop("_moved")
+
     def take(self, offsets: Sequence[int], columns: Sequence[str] | None = None) -> DataFrame:
         """Rows by place; the order and repetitions of `offsets` stay."""
         return self._take(self.with_offsets(), OFFSET, offsets, columns)
 
     def take_rows(self, ids: Sequence[int], columns: Sequence[str] | None = None) -> DataFrame:
-        return self._take(self.scan(), ROWID, ids, columns)
+        """Rows by id; the order and repetitions of `ids` stay. Up to `POINTS` ids are looked up in the files that can hold them."""
+        return self._take(self.rows_of(ids) if len(set(ids)) <= POINTS else self.scan(), ROWID, ids, columns)
 
     def _take(self, rows: DataFrame, key: str, wanted: Sequence[int], columns: Sequence[str] | None) -> DataFrame:
         want = self.spark.createDataFrame([(i, int(w)) for i, w in enumerate(wanted)], "_pos long, _want long")
         names = list(columns) if columns is not None else [f["name"] for f in self.snapshot.fields]
-        near = rows.filter(F.col(key).isin([int(w) for w in set(wanted)])) if len(set(wanted)) <= 1000 else rows
+        near = rows.filter(F.col(key).isin([int(w) for w in set(wanted)])) if key == OFFSET and len(set(wanted)) <= POINTS else rows
         return want.join(near, F.col("_want") == F.col(key)).orderBy("_pos").select(*names)
 
     def head(self, n: int) -> DataFrame:
@@ -344,7 +402,7 @@ class Table:
         return self.scanner(filter=predicate, columns=[]).count()
 
     def count_deleted_rows(self) -> int:
-        return sum(d["rows"] for d in self.snapshot.body["deletions"])
+        return self.snapshot.body["deleted_rows"]
 
     def count_small_fragments(self, rows: int = MAX_ROWS) -> int:
         return sum(1 for f in self.snapshot.fragments if f["rows"] < rows)
@@ -382,7 +440,7 @@ class Table:
         newest = Table.open(self.spark, self.uri, branch=self.branch)
 
         def change(body: dict) -> None:
-            body |= {k: keep[k] for k in ("fields", "fragments", "deletions", "indices", "config", "metadata")}
+            body |= {k: keep[k] for k in ("fields", "fragments", "deletions", "deleted_rows", "indices", "config", "metadata")}
 
         return newest._commit("restore", change)
 
@@ -423,6 +481,8 @@ class Table:
         store = Store(self.spark, uri)
         if store.list("_versions"):
             raise TableError(f"a table exists at {uri}")
+        # the source's cleanup must know who else reads its files
+        self.store.create(f"_clones/{uuid.uuid4().hex}.json", {"uri": uri.rstrip("/")})
         store.create(f"_versions/{1:020d}.json", self.snapshot.body | {"version": 1, "operation": "clone", "source": self.uri, "bases": [uri]})
         return Table.open(self.spark, uri)
 
@@ -481,6 +541,22 @@ def _next(fragments: list[dict], first: int) -> int:
     return max([first, *(f["id"] + 1 for f in fragments)])
 
 
+def origins(fragment: dict) -> set[int]:
+    """The upper halves of the fragment's row ids."""
+    return set(fragment.get("origins") or [fragment["id"]])
+
+
+def place(body: dict, fragments: list[dict], first: int, planned: int, keep: bool = False) -> list[dict]:
+    """Adds fragments that were written as from `first` in version `planned` to the newest manifest, under the ids that are free there.
+
+    keep: their rows have ids of their own already, which stay."""
+    shift, became = body["next_fragment"] - first, body["version"] + 1
+    out = [f | {"id": f["id"] + shift, "shift": 0 if keep else shift, "planned": planned, "became": became} for f in fragments]
+    body["fragments"] = body["fragments"] + out
+    body["next_fragment"] = _next(out, body["next_fragment"])
+    return out
+
+
 def as_frame(spark: SparkSession, data: Any, schema: Any = None) -> DataFrame:
     """Frames, pandas, Arrow tables, batches and readers, lists of dictionaries."""
     import pandas as pd

@@ -149,3 +149,86 @@ def test_deltas_and_system_columns(spark, uri):
     assert rows(t.inserted(1, 2).select("id")) == [(i,) for i in range(10, 15)]
     assert rows(t.updated(2, 3).select("id")) == [(100,), (101,), (102,)]
     assert t.scan().select(F.countDistinct(ROWID)).first()[0] == 15
+
+
+def test_overtaken_writers_get_ids_of_their_own(spark, uri):
+    Table.write(spark.range(10).repartition(2), uri)
+    one, two, three = (Table.open(spark, uri) for _ in range(3))
+    one.append(spark.range(100, 110).repartition(2))
+    two.append(spark.range(200, 210).repartition(2))
+    mutate.update(three, {"id": "id + 1000"}, "id < 5")
+    now = Table.open(spark, uri)
+    now.validate()
+    assert now.scan().select(ROWID).distinct().count() == now.count_rows() == 30
+    assert mutate.delete(now, "id = 205") == 1
+    assert now.scan().count() == now.count_rows() == 29
+    assert rows(now.inserted(2, 3).select("id")) == [(i,) for i in range(200, 210) if i != 205]
+    assert rows(now.updated(3, 4).select("id")) == [(1000 + i,) for i in range(5)]
+    parts = [now.write_uncommitted(spark.range(300, 303)), Table.open(spark, uri).write_uncommitted(spark.range(303, 305))]
+    now.append(spark.range(400, 402))
+    now.commit_fragments([f for p in parts for f in p])
+    now.validate()
+    ids = [r[0] for r in now.scan().filter("id IN (101, 203, 304, 1003)").select(ROWID).collect()]
+    assert sorted(r[0] for r in now.take_rows(ids, ["id"]).collect()) == [101, 203, 304, 1003]
+    before = rows(now.scan().select("id", ROWID, "_row_created_at_version"))
+    maintain.compact(now)
+    now.validate()
+    assert rows(now.scan().select("id", ROWID, "_row_created_at_version")) == before
+    addresses = [r[0] for r in Scanner(now, columns=["id"], with_row_address=True).to_df().select("_rowaddr").collect()]
+    assert len(set(addresses)) == len(before) and {a >> 32 for a in addresses} <= {f["id"] for f in now.snapshot.fragments}
+
+
+def test_compaction_of_some_fragments_keeps_the_count(spark, uri):
+    t = Table.write(spark.range(1000).repartition(2), uri)
+    mutate.delete(t, "id < 3")
+    t.append(spark.range(1000, 1010))
+    mutate.delete(t, "id >= 1008")
+    maintain.compact(t, target_rows=100)
+    t.validate()
+    assert t.count_rows() == t.scan().count() == 1005
+    mutate.delete(t, "id = 1001 OR id = 500")
+    t.validate()
+    assert t.count_deleted_rows() >= 2 and t.scan(include_deleted=True).count() == 1005 + t.count_deleted_rows() - 2
+
+
+def test_cleanup_on_a_branch_leaves_main_and_clones(spark, uri, tmp_path):
+    t = Table.write(spark.range(20), uri)
+    clone = t.shallow_clone(f"file://{tmp_path}/clone")
+    b = t.create_branch("b")
+    b.overwrite(spark.range(5))
+    b.append(spark.range(5, 7))
+    for _ in range(2):
+        maintain.cleanup(b, keep=1, unverified_after=0)
+        maintain.cleanup(Table.open(spark, uri, branch="b"), keep=1, unverified_after=0)
+    assert Table.open(spark, uri).scan().count() == 20 and Table.open(spark, uri, branch="b").scan().count() == 7
+    t.overwrite(spark.range(2))
+    maintain.cleanup(t, keep=1, unverified_after=0)
+    assert clone.scan().count() == 20 and Table.open(spark, uri).scan().count() == 2
+
+
+def test_rewrites_drop_stale_indices(spark, uri):
+    from loomwright.operators import indices
+
+    t = Table.write(spark.createDataFrame([(i, i * 2, "s") for i in range(20)], "id int, x int, s string"), uri)
+    for c in ("id", "x"):
+        indices.create_scalar_index(t, c, "BTREE")
+    mutate.update_columns(t, spark.createDataFrame([(3, 777)], "id int, x int"), "id")
+    assert [i["column"] for i in indices.describe(t)] == ["id"]
+    assert rows(indices.lookup(t, "x", "=", 777).select("id")) == [(3,)] and rows(Scanner(t, columns=["x"], filter="id = 3").to_df()) == [(777,)]
+    evolve.alter_columns(t, {"path": "id", "name": "key"})
+    assert rows(indices.lookup(t, "key", "=", 5).select("key")) == [(5,)]
+    maintain.compact(t)
+    assert indices.describe(t)[0]["uncovered"] == 0
+    evolve.drop_columns(t, ["key"])
+    assert indices.describe(t) == []
+
+
+def test_a_replayed_batch_is_skipped(spark, uri):
+    from loomwright.streaming.ingest import once
+
+    Table.write(people(spark, [("a", 1)]), uri)
+    batch = once(uri, "s", lambda t, df, config: t.append(df, config=config))
+    for number in (0, 0, 1, 0, 1):
+        batch(people(spark, [(f"n{number}", number)]), number)
+    assert rows(Table.open(spark, uri).to_df()) == [("a", 1), ("n0", 0), ("n1", 1)]
+    assert Table.open(spark, uri).version == 3
