@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dialect import expression, predicate
-from ..sources.table import CREATED, ROWID, SYSTEM, UPDATED, CommitConflict, Table, TableError, place
+from ..sources.table import CREATED, POINTS, ROWID, SYSTEM, UPDATED, CommitConflict, Table, TableError, place
 
 
 def _drop_rows(table: Table, ids: DataFrame) -> tuple[dict | None, set[int]]:
@@ -140,7 +140,7 @@ class MergeInsert:
         if extra or not set(self.on) <= set(source.columns):
             raise TableError(f"the source must hold the keys and no columns but the table's: {sorted(extra)}")
         s = source.select(*(F.col(f"`{c}`").alias(f"s_{c}") for c in source.columns)).withColumn("_s", F.lit(True))
-        t = self.table.scan().select(*(F.col(f"`{c}`").alias(f"t_{c}") for c in names), ROWID, CREATED, UPDATED)
+        t = self._target(source).select(*(F.col(f"`{c}`").alias(f"t_{c}") for c in names), ROWID, CREATED, UPDATED)
         on = None
         for k in self.on:
             same = F.col(f"s_{k}") == F.col(f"t_{k}")
@@ -158,6 +158,17 @@ class MergeInsert:
             action = action.when(gone, F.lit("delete"))
         return both.withColumn("_action", action.otherwise(F.lit("keep")))
 
+    def _target(self, source: DataFrame) -> DataFrame:
+        """The table's rows that the merge can touch: where a scalar index knows the key and the source has few keys, only theirs."""
+        from . import indices
+
+        known = [x for x in self.table.snapshot.body["indices"] if x["column"] == self.on[0] and x["type"] in ("BTREE", "BITMAP", "BLOOMFILTER") and not x.get("json_path")]
+        if self._by_source == "delete" or not known:
+            return self.table.scan()
+        keys = [r[0] for r in source.select(F.col(f"`{self.on[0]}`")).filter(F.col(f"`{self.on[0]}`").isNotNull()).distinct().limit(POINTS + 1).collect()]
+        found = indices._ask(self.table, self.on[0], "in", keys) if keys and len(keys) <= POINTS else None
+        return self.table.scan() if found is None else indices.fetch(self.table, *found)
+
     def _on_matched(self, source: Sequence[str], names: Sequence[str]) -> Column:
         if self._matched == "nothing":
             return F.lit("keep")

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import distance as D
 from ..functions import json as J
-from ..operators import evolve, fts, indices, maintain, mutate, sampling, vector
+from ..operators import batches, evolve, fts, indices, maintain, mutate, sampling, vector
 from ..operators.scanner import Scanner
 from ..sources.store import scratch
 from ..sources.table import CREATED, DISTANCE, OFFSET, ROWID, SCORE, SYSTEM, Table
@@ -750,6 +750,54 @@ def filter_list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Scanner(Table.write(rows, scratch(spark)), columns=["vec_id"], filter="embedding[1] > 0.1 AND arrays_overlap(labels, [3, 8])").to_df()
 
 
+@query(f"WITH {_BASE} SELECT doc_id, round(sum(s), 5) AS score FROM b WHERE term IN ('haon', 'was') GROUP BY doc_id HAVING doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def fts_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full text as a table function, filtered in SQL behind the search."""
+    table = stored(spark, sf_dir, "documents")
+    return table.sql("""SELECT doc_id, round(_score, 5) AS score FROM fts('dataset', '{"match": {"terms": "haon was", "column": "text"}}') WHERE lang = 'en'""")
+
+
+@query("SELECT unnest([3, 4, 5, 0, 1, 4]) AS place")
+def take_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read(spark, sf_dir, "customer").select(F.col("c_custkey")).repartitionByRange(3, "c_custkey").sortWithinPartitions("c_custkey")
+    first = df.agg(F.min("c_custkey")).first()[0]
+    found = batches.take_ranges(stored(spark, sf_dir, "customer", df), [(3, 6), (0, 2), (4, 5)])
+    return found.select((F.col("c_custkey") - first).cast("int").alias("place"))
+
+
+@query(f"SELECT vec_id, label, round({_METRIC['l2']}, 5) AS d FROM embeddings ORDER BY {_METRIC['l2']}, vec_id LIMIT 12")
+def late_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns fetched by row id for the rows of a search."""
+    _, q = _vectors(spark, sf_dir)
+    table = stored(spark, sf_dir, "embeddings")
+    found = vector.flat(table.scan(), "embedding", q, 12).select(ROWID, F.round(DISTANCE, 5).alias("d"))
+    return batches.fetch_columns(table, found, ["vec_id", "label"]).select("vec_id", "label", "d")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 50 = 1 THEN -5.0 ELSE c_acctbal END AS c_acctbal FROM customer UNION ALL SELECT 9000000, -5.0")
+def merge_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An upsert whose key is indexed; a part of the table came after the index."""
+    df = read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    table = stored(spark, sf_dir, "customer", df.filter("c_custkey % 4 <> 3"))
+    indices.create_scalar_index(table, "c_custkey", "BTREE")
+    table.append(df.filter("c_custkey % 4 = 3"))
+    source = df.filter("c_custkey % 50 = 1").withColumn("c_acctbal", F.lit(-5.0)).union(spark.createDataFrame([(9_000_000, -5.0)], df.schema))
+    mutate.MergeInsert(table, "c_custkey").when_matched_update_all().when_not_matched_insert_all().execute(source)
+    return table.to_df()
+
+
+@query("SELECT n_regionkey AS value, count(*) AS n, min(n_name) AS first FROM nation GROUP BY n_regionkey")
+def group_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table split on a column, and each part read in batches of exactly four rows."""
+    out = []
+    for value, rows in batches.groups(stored(spark, sf_dir, "nation").to_df(), "n_regionkey"):
+        parts = list(batches.strict_batches(rows.select("n_name"), 4))
+        assert all(p.num_rows == 4 for p in parts[:-1])
+        names = [x for p in parts for x in p.column(0).to_pylist()]
+        out.append((value, len(names), min(names)))
+    return spark.createDataFrame(out, "value long, n long, first string").select(F.col("value").cast(read(spark, sf_dir, "nation").schema["n_regionkey"].dataType).alias("value"), "n", "first")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

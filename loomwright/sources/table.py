@@ -15,6 +15,7 @@ and a projection; filters and columns reach the scan.
 
 from __future__ import annotations
 
+import re
 import time
 import uuid
 from collections.abc import Callable, Sequence
@@ -345,12 +346,20 @@ class Table:
         return Scanner(self, **options)
 
     def sql(self, query: str, name: str = "dataset", with_row_id: bool = False) -> DataFrame:
-        """Spark SQL over the table, registered under `name`."""
+        """Spark SQL over the table, registered under `name`. `fts('name', '<query in JSON>')` is a table: the rows that the query finds, with `_score`."""
         from ..functions.register import register, renamed
 
         register(self.spark)
         df = self.scan()
         (df if with_row_id else df.drop(*SYSTEM)).createOrReplaceTempView(name)
+        def searched(m: re.Match) -> str:
+            if m[1] != name:
+                raise TableError(f"fts() over {m[1]!r}: this session knows {name!r}")
+            view = f"_fts_{uuid.uuid4().hex}"
+            self.scanner(full_text=m[2].replace("''", "'"), with_row_id=with_row_id).to_df().createOrReplaceTempView(view)
+            return view
+
+        query = re.sub(r"\bfts\s*\(\s*'([^']*)'\s*,\s*'((?:[^']|'')*)'\s*\)", searched, query, flags=re.I)
         return self.spark.sql(renamed(query))
 
     def with_offsets(self, df: DataFrame | None = None) -> DataFrame:
