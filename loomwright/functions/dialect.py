@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .register import renamed
+from .register import register, renamed
 
 _CASTS = {
     "boolean": "boolean", "tinyint": "tinyint", "smallint": "smallint", "int": "int", "integer": "int", "bigint": "bigint", "float": "float", "double": "double",
@@ -77,7 +77,12 @@ def rewrite(text: str, df: DataFrame) -> str:
     return "".join(_arrays(parts))
 
 
+_OWN = re.compile(r"\b(?:json_\w+|array_has\w*|regexp_match|contains_tokens|\w+_distance|is_valid|strpos|to_hex)\s*\(", re.I)
+
+
 def expression(text: str, df: DataFrame) -> Column:
+    if _OWN.search(text):
+        register(df.sparkSession)
     return F.expr(rewrite(text, df))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 import pyarrow as pa
@@ -97,13 +98,22 @@ def add_columns_from(table: Table, data: DataFrame, order: str) -> Table:
     from pyspark.sql import Window
 
     _new(table, [c for c in data.columns if c != order])
-    numbered = data.withColumn("_place", F.row_number().over(Window.orderBy(order)) - 1)
+    # sorted in ranges, numbered within each: no task sees the whole frame
+    draft = f"{table.uri}/_drafts/{uuid.uuid4().hex}"
+    data.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).write.parquet(draft)
+    data = table.spark.read.parquet(draft)
+    sizes = data.groupBy("_part").count()
+    sizes = sizes.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    numbered = data.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(order))).join(F.broadcast(sizes), "_part").withColumn("_place", F.col("_before") + F.col("_in") - 1).drop("_in", "_before")
+    data = data.drop("_part")
     rows = table.with_offsets()
     if data.count() != table.count_rows():
         raise TableError("the frame must have as many rows as the table")
     add = [c for c in data.columns if c not in table.schema.names]
     joined = rows.join(numbered.select("_place", *add), rows["_rowoffset"] == numbered["_place"], "left")
-    return rewrite(table, joined.select(*[f.name for f in table.schema], *add, *SYSTEM), "merge")
+    done = rewrite(table, joined.select(*[f.name for f in table.schema], *add, *SYSTEM), "merge")
+    table.store.delete(draft, True)
+    return done
 
 
 def alter_columns(table: Table, *changes: Mapping) -> Table:

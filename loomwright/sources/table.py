@@ -15,6 +15,7 @@ and a projection; filters and columns reach the scan.
 
 from __future__ import annotations
 
+import bisect
 import re
 import time
 import uuid
@@ -126,11 +127,16 @@ class Table:
             if name not in names:
                 raise TableError(f"no version {version}")
             return cls(spark, uri, Snapshot(store.read(f"{cls._folder(branch)}/{name}")), branch)
-        for name in reversed(names):
-            snap = Snapshot(store.read(f"{cls._folder(branch)}/{name}"))
-            if asof is None or snap.body["timestamp"] <= asof:
-                return cls(spark, uri, snap, branch)
-        raise TableError(f"no version as of {asof}")
+        read = lambda i: Snapshot(store.read(f"{cls._folder(branch)}/{names[i]}"))
+        if asof is None:
+            return cls(spark, uri, read(len(names) - 1), branch)
+        low, high = 0, len(names)  # times grow with versions: the last one not after `asof` is found by halving
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (middle + 1, high) if read(middle).body["timestamp"] <= asof else (low, middle)
+        if low == 0:
+            raise TableError(f"no version as of {asof}")
+        return cls(spark, uri, read(low - 1), branch)
 
     def checkout(self, version: int | str | None = None, asof: float | None = None) -> Table:
         return Table.open(self.spark, self.uri, version, asof, self.branch)
@@ -389,7 +395,20 @@ class Table:
         return df.join(where, ROWID, "left").withColumn(ROWADDR, F.coalesce("_moved", address)).drop("_moved")
 
     def take(self, offsets: Sequence[int], columns: Sequence[str] | None = None) -> DataFrame:
-        """Rows by place; the order and repetitions of `offsets` stay."""
+        """Rows by place; the order and repetitions of `offsets` stay. Where no row was deleted or moved, the manifest tells which fragments hold them."""
+        if not self.snapshot.body["deletions"] and not any(f.get("origins") for f in self.snapshot.fragments):
+            begins, parts, total = [], sorted(self.snapshot.fragments, key=lambda f: f["id"]), 0
+            for f in parts:
+                begins.append(total)
+                total += f["rows"]
+            held = {bisect.bisect_right(begins, int(o)) - 1 for o in offsets if 0 <= o < total}
+            frag, before = F.shiftright(ROWID, 32), None
+            for i in sorted(held):
+                before = (F.when if before is None else before.when)(frag == parts[i]["id"], begins[i])
+            if held and len(held) <= 64:
+                rows = self.scan([parts[i]["id"] for i in held]).withColumn("_frag", frag).withColumn("_before", before)
+                place_in = F.row_number().over(Window.partitionBy("_frag").orderBy(ROWID))
+                return self._take(rows.withColumn(OFFSET, F.col("_before") + place_in - 1).drop("_frag", "_before"), OFFSET, offsets, columns)
         return self._take(self.with_offsets(), OFFSET, offsets, columns)
 
     def take_rows(self, ids: Sequence[int], columns: Sequence[str] | None = None) -> DataFrame:
