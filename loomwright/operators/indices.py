@@ -275,6 +275,11 @@ Found = tuple[list[DataFrame], list[dict]]
 
 
 def _ask(table: Table, column: str, op: str, value, json_path: str | None = None) -> Found | None:
+    if column == ROWID and op in ("=", "in"):  # row ids are their own index
+        ids = value if op == "in" else [value]
+        if all(isinstance(i, int) and not isinstance(i, bool) for i in ids):
+            return [table.spark.createDataFrame([(i,) for i in dict.fromkeys(ids)], f"{ROWID} long")], [{"fragments": _all_origins(table)}]
+        return None
     for x in table.snapshot.body["indices"]:
         if x["column"] == column and x.get("json_path") == json_path and x["type"] in TYPES and x["paths"]:
             near = TYPES[x["type"]].lookup(sidecar(table, x), op, value)
@@ -291,7 +296,7 @@ def candidates(table: Table, where: str) -> Found | None:
     """What the table's scalar indices know about a filter: at least its rows. None if they can't narrow it.
 
     AND needs an index on one side and uses those of both, OR needs them on both; a negation other than IS NOT NULL is not narrowed."""
-    if not any(x["type"] in TYPES for x in table.snapshot.body["indices"]):
+    if ROWID not in where and not any(x["type"] in TYPES for x in table.snapshot.body["indices"]):
         return None
     tree = table.spark._jsparkSession.sessionState().sqlParser().parseExpression(where)
     return _walk(table, tree)

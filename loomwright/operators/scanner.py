@@ -130,10 +130,29 @@ class Scanner:
         return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
 
     def analyze(self) -> str:
-        """Runs the scan; the plan that ran, and its rows."""
-        df = self.to_df()
-        rows = df.count()
-        return f"{self.explain()}\nrows: {rows}"
+        """Runs the scan; the operators that ran, each with its metrics, and the rows that came out."""
+        run = self.to_df()._jdf.queryExecution()
+        rows = run.toRdd().count()
+        lines: list[str] = []
+
+        def show(node, depth: int) -> None:
+            name = node.getClass().getSimpleName()
+            if name == "AdaptiveSparkPlanExec":
+                return show(node.executedPlan(), depth)
+            if name.endswith("QueryStageExec"):
+                return show(node.plan(), depth)
+            found, it = [], node.metrics().iterator()
+            while it.hasNext():
+                pair = it.next()
+                if pair._2().value() > 0:
+                    found.append(f"{pair._1()}={pair._2().value()}")
+            lines.append("  " * depth + node.nodeName() + (f" [{', '.join(sorted(found))}]" if found else ""))
+            kids = node.children()
+            for i in range(kids.size()):
+                show(kids.apply(i), depth + 1)
+
+        show(run.executedPlan(), 0)
+        return "\n".join([*lines, f"rows: {rows}"])
 
     def to_arrow(self):
         return self.to_df().toArrow()

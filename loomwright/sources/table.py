@@ -19,7 +19,7 @@ import bisect
 import re
 import time
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
 
@@ -436,23 +436,32 @@ class Table:
         return sum(1 for f in self.snapshot.fragments if f["rows"] < rows)
 
     def column_bytes(self) -> dict[str, int]:
-        """Compressed bytes of every column, from the Parquet footers."""
-        import pyarrow.parquet as pq
-        from pyarrow import fs
-
-        out: dict[str, int] = {}
+        """Compressed bytes of every column, from the Parquet footers, which the executors open."""
         names = {f["physical"]: f["name"] for f in self.snapshot.fields}
-        for frag in self.snapshot.fragments:
-            for f in frag["files"]:
-                system, path = fs.FileSystem.from_uri(f if "://" in f else "file://" + f.removeprefix("file:"))
-                meta = pq.ParquetFile(system.open_input_file(path)).metadata
-                for g in range(meta.num_row_groups):
-                    for c in range(meta.num_columns):
-                        col = meta.row_group(g).column(c)
-                        name = names.get(col.path_in_schema.split(".")[0])
-                        if name:
-                            out[name] = out.get(name, 0) + col.total_compressed_size
-        return out
+        files = [(f,) for x in self.snapshot.fragments for f in x["files"]]
+        if not files:
+            return {}
+
+        def read(batches):
+            import pyarrow as pa
+            import pyarrow.parquet as pq
+            from pyarrow import fs
+
+            for batch in batches:
+                sizes: dict[str, int] = {}
+                for f in batch.column(0).to_pylist():
+                    system, path = fs.FileSystem.from_uri(f if "://" in f else "file://" + f.removeprefix("file:"))
+                    with system.open_input_file(path) as opened:
+                        meta = pq.ParquetFile(opened).metadata
+                        for g in range(meta.num_row_groups):
+                            for c in range(meta.num_columns):
+                                col = meta.row_group(g).column(c)
+                                top = col.path_in_schema.split(".")[0]
+                                sizes[top] = sizes.get(top, 0) + col.total_compressed_size
+                yield pa.RecordBatch.from_pydict({"name": list(sizes), "size": list(sizes.values())}, schema=pa.schema([("name", pa.string()), ("size", pa.int64())]))
+
+        rows = self.spark.createDataFrame(files, "file string").repartition(min(len(files), 1024)).mapInArrow(read, "name string, size long")
+        return {names[r["name"]]: r["size"] for r in rows.groupBy("name").agg(F.sum("size").alias("size")).collect() if r["name"] in names}
 
     def blobs(self, column: str, ids: Sequence[int], start: int = 0, size: int | None = None) -> DataFrame:
         """Bytes (or a part of them) of a binary column by row id, with their whole size."""
@@ -586,14 +595,19 @@ def place(body: dict, fragments: list[dict], first: int, planned: int, keep: boo
 
 
 def as_frame(spark: SparkSession, data: Any, schema: Any = None) -> DataFrame:
-    """Frames, pandas, Arrow tables, batches and readers, lists of dictionaries."""
+    """Frames, pandas, Arrow tables, batches, readers and iterators of batches, lists of dictionaries."""
     import pandas as pd
     import pyarrow as pa
 
     if isinstance(data, DataFrame):
         return data
     if isinstance(data, pa.RecordBatchReader):
-        data = data.read_all()
+        data = iter(data)
+    if isinstance(data, Iterator):  # record-batch readers and generators of batches: spooled to files, not held
+        from ..operators.batches import OneShot
+        from .store import scratch
+
+        return OneShot(spark, data).to_df(scratch(spark))
     if isinstance(data, pa.RecordBatch):
         data = pa.Table.from_batches([data])
     if isinstance(data, (pd.DataFrame, pa.Table)):

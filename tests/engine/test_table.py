@@ -80,6 +80,11 @@ def test_scanner_rules(spark, uri):
     with pytest.raises(ValueError):
         Scanner(t, filter="s").to_df()
     assert "Scan parquet" in Scanner(t, columns=["i"]).explain()
+    said = Scanner(t, columns=["i"], filter="i > 1").analyze()
+    assert "rows: 2" in said and "numOutputRows=" in said
+    ids = [r[0] for r in t.scan().filter("i = 2 OR i = 4").select(ROWID).collect()]
+    for where in (f"_rowid IN ({ids[0]}, {ids[1]})", f"_rowid = {ids[0]} OR _rowid = {ids[1]}", f"i > 1 AND _rowid IN ({ids[0]}, {ids[1]}, 999)"):
+        assert sorted(scan(filter=where)) == [2, 4] and "_rowid" in Scanner(t, columns=["i"], filter=where).explain()
     assert [r[0] for r in t.take([3, 0, 0], ["i"]).collect()] == [4, 1, 1]
 
 
@@ -232,3 +237,16 @@ def test_a_replayed_batch_is_skipped(spark, uri):
         batch(people(spark, [(f"n{number}", number)]), number)
     assert rows(Table.open(spark, uri).to_df()) == [("a", 1), ("n0", 0), ("n1", 1)]
     assert Table.open(spark, uri).version == 3
+
+
+def test_inputs_and_column_sizes(spark, uri):
+    import pyarrow as pa
+
+    from loomwright.sources.table import as_frame
+
+    one = pa.RecordBatch.from_pydict({"a": [1, 2]})
+    for data in (one, pa.Table.from_batches([one]), pa.RecordBatchReader.from_batches(one.schema, [one]), iter([one]), [one], [{"a": 1}, {"a": 2}]):
+        assert rows(as_frame(spark, data)) == [(1,), (2,)]
+    t = Table.write(spark.range(1000).selectExpr("id", "md5(string(id)) AS m").repartition(3), uri)
+    sizes = t.column_bytes()
+    assert set(sizes) == {"id", "m"} and sizes["m"] > sizes["id"] > 0
