@@ -6,7 +6,7 @@ import time
 import pytest
 
 from loomwright.llm.html_extract import DEPTH, blocks, consensus, extract, extract_pages, worths
-from loomwright.llm.url_filter import judge
+from loomwright.llm.url_filter import domain_of, judge
 
 PAGES = [
     ("", ""),
@@ -117,3 +117,14 @@ def test_nulls_repeats_and_clashing_names(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, _host int, host int")
     got = sorted((r["page_id"] or 0, r["text"]) for r in extract_pages(df).collect())
     assert got == [(0, ""), (1, "x"), (1, "x")]
+
+
+def test_url_filter_takes_odd_rows_and_clashing_names(spark):
+    url = "http://a.com.tr/" + "x" * 200_000
+    rows = [(None, None, "h", "r"), (1, url, "h", "r"), (1, url, "h", "r"), (2, "http://A.net/", "h", "r")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, _standing string")
+    labels = spark.createDataFrame([(1, 0, None, "v"), (1, 0, None, "v"), (None, 1, 1, "v")], "doc_id long, quality int, toxic int, verdict string")
+    got = sorted((r["page_id"] or 0, r["host"], len(r["path"]), r["rule"]) for r in judge(pages, labels).collect())
+    assert got == [(0, "", 0, None), (1, "a.com.tr", 200_001, None), (1, "a.com.tr", 200_001, None), (2, "a.net", 1, "net/")]
+    known = spark.createDataFrame([("a.com.tr",), ("b.x.com.tr",), ("c.co",)], "h string")
+    assert [r[0] for r in known.select(domain_of("h")).collect()] == ["a.com.tr", "x.com.tr", "c.co"]

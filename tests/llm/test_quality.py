@@ -56,3 +56,16 @@ def test_labelled_documents(spark, sf):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], brute.SCHEMA)
     assert quality_report(docs).count() == 0 and quality_filter(docs).count() == 0
+
+
+def test_odd_rows_clashing_names_and_own_lists(spark):
+    long = "\n".join(" ".join(f"w{i}x{j}" for j in range(40)) + "." for i in range(1500))
+    rows = [(None, None, 1, "k"), (1, "", 1, "k"), (2, long, 1, "k"), (2, long, 1, "k"), (3, "\n".join([GOOD, "buy our stock phrase."] * 3), 1, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words int, kept string")
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["kept"]) for r in quality_report(docs).collect())
+    assert got[:4] == [(0, 0, False), (1, 0, False), (2, 60_000, True), (2, 60_000, True)]
+    kept = quality_filter(docs, LineRules(max_repeat_percent=100, phrases=("stock phrase",)))
+    assert kept.columns == docs.columns
+    texts = {r["doc_id"]: r["text"] for r in kept.collect()}
+    assert texts[2] == long and "stock" not in texts[3] and kept.count() == 3
+    assert quality_filter(docs.limit(0)).count() == quality_report(docs.limit(0)).count() == 0

@@ -22,3 +22,13 @@ def test_equals_the_library(spark):
     want = [(i, len((t or "").encode()), n := len(sp.encode(t or "")), n > 4096) for i, t, *_ in rows]
     assert brute.order(got) == brute.order(want)
     assert count_tokens(spark.createDataFrame([], brute.SCHEMA), MODEL).count() == 0
+
+
+def test_odd_rows_and_clashing_names(spark):
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    long = " ".join(f"word{i}" for i in range(30_000))
+    rows = [(None, None, 1, 2, True), (1, "", 1, 2, True), (2, long, 1, 2, True), (2, long, 1, 2, True)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, n_tokens int, n_bytes int, over_limit boolean")
+    got = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in count_tokens(docs, MODEL).collect())
+    n = len(sp.encode(long))
+    assert got == [(0, 0, 0, False), (1, 0, 0, False), (2, len(long), n, True), (2, len(long), n, True)]
