@@ -23,7 +23,7 @@ ids may be of any type that Arrow carries; texts and items may be of any length.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from math import ceil
 
 import numpy as np
@@ -61,6 +61,11 @@ def fingerprints(shingles: np.ndarray, starts: np.ndarray, n: int, step: int = 1
     groups = np.split(np.arange(len(starts)), np.flatnonzero(np.diff(starts) > n) + 1) if len(starts) else []
     for group in groups:
         at, last = int(starts[group[0]]), int(starts[group[-1]])
+        if last + n - at <= step:
+            sums = np.zeros((last + n - at + 1, 128), np.int32)
+            np.cumsum(signs(shingles[at : last + n]), axis=0, out=sums[1:])
+            out[group] = np.packbits(sums[starts[group] - at + n] - sums[starts[group] - at] >= 0, axis=1).view(U)
+            continue
         total = np.zeros(128, np.int64)
         for i in range(at, at + n, step):
             total += signs(shingles[i : min(i + step, at + n)]).sum(axis=0)
@@ -102,23 +107,28 @@ class MultiIndex:
             self.held += len(found) + 16
         return found
 
-    def candidates(self, fingerprint: np.ndarray) -> np.ndarray:
-        """The stored fingerprints that agree with one in some block as far as the radius asks for."""
-        halves, blocks = fingerprint.view(np.uint16), fingerprint.view(np.uint32)
-        hit = np.zeros(len(self.prints), bool)
-        for b in range(self.BLOCKS):
-            for i in (2 * b, 2 * b + 1):
-                at = self._half(i, int(halves[i]))
-                hit[at[np.bitwise_count(self.blocks[at, b] ^ blocks[b]) <= self.radii[b]]] = True
-        return np.flatnonzero(hit)
-
-    def within(self, prints: np.ndarray) -> list[np.ndarray]:
-        """For each fingerprint, all stored ones within the radius."""
-        out = []
-        for p in prints:
-            near = self.candidates(p)
-            out.append(near[np.bitwise_count(self.prints[near] ^ p).sum(axis=1, dtype=np.int64) <= RADIUS])
-        return out
+    def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(fingerprint, stored one) of all that agree in some block as far as the radius asks for."""
+        halves = np.ascontiguousarray(prints).view(np.uint16).reshape(len(prints), 2 * self.BLOCKS)
+        blocks = np.ascontiguousarray(prints).view(np.uint32).reshape(len(prints), self.BLOCKS)
+        pairs = []
+        for i in range(2 * self.BLOCKS):
+            values, which = np.unique(halves[:, i], return_inverse=True)
+            near = [self._half(i, v) for v in values.tolist()]
+            sizes = np.array([len(x) for x in near], np.int64)
+            n = sizes[which]  # of every fingerprint, the stored halves near its own
+            q = np.repeat(np.arange(len(prints)), n)
+            at = np.repeat((np.cumsum(sizes) - sizes)[which] - (np.cumsum(n) - n), n) + np.arange(len(q))
+            item = np.concatenate(near)[at]
+            ok = np.bitwise_count(self.blocks[item, i // 2] ^ blocks[q, i // 2]) <= self.radii[i // 2]
+            pairs.append(q[ok] * len(self.prints) + item[ok])
+        return np.divmod(np.unique(np.concatenate(pairs)), len(self.prints))
+
+    def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(fingerprint, stored one) of all within the radius."""
+        q, item = self.candidates(prints)
+        ok = np.bitwise_count(self.prints[item] ^ prints[q]).sum(axis=1, dtype=np.int64) <= RADIUS
+        return q[ok], item[ok]
 
 
 def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -164,44 +174,58 @@ class Items:
         at[at == len(self.table)] = 0
         return near[self.table[at] == shingles[near]]
 
-    def leaks(self, slab: Slab) -> Iterator[tuple[int, int, float, int]]:
-        """(row, item, similarity, first word) of the best window of every item that a document leaks."""
-        if not self.by_size:
-            return
-        slab = folded(slab)
-        first = slab.words()[2]
-        grams = windows(slab.word_hashes(), SHINGLE, 1)
-        known = self.known(grams)
-        if not len(known):
-            return
-        doc = np.searchsorted(first, known, "right") - 1
-        for d in np.unique(doc):
-            total = max(0, int(first[d + 1] - first[d]) - SHINGLE + 1)
-            mine = known[doc == d] - first[d]
-            mine = mine[mine < total]
-            if len(mine) < self.least:
+    def leaks(self, slabs: Iterable[Slab]) -> Iterator[tuple[int, int, float, int]]:
+        """(row, item, similarity, first word) of the best window of every item that a document leaks. Fingerprints of many documents are looked up together."""
+        held: dict[int, list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]] = {}
+        n_held = 0
+        for slab in slabs if self.by_size else ():
+            slab = folded(slab)
+            first = slab.words()[2]
+            grams = windows(slab.word_hashes(), SHINGLE, 1)
+            known = self.known(grams)
+            if not len(known):
                 continue
-            own = grams[first[d] : first[d] + total]
-            count = np.zeros(total + 1, np.int64)
-            count[mine + 1] = 1
-            count = np.cumsum(count)
-            best: dict[int, tuple[float, int]] = {}
-            for n, (of, index) in self.by_size.items():
-                size = min(n, total)
-                need = self.need(size, n)
-                if len(mine) < need:
+            doc = np.searchsorted(first, known, "right") - 1
+            for d in np.unique(doc):
+                total = max(0, int(first[d + 1] - first[d]) - SHINGLE + 1)
+                mine = known[doc == d] - first[d]
+                mine = mine[mine < total]
+                if len(mine) < self.least:
                     continue
-                starts = np.flatnonzero(count[size:] - count[:-size] >= need)
-                for lo in range(0, len(starts), 4096):
-                    some = starts[lo : lo + 4096]
-                    for s, near in zip(some, index.within(fingerprints(own, some, size))):
-                        for k in near:
-                            item = of[k]
-                            sim = weighted_jaccard(own[s : s + size], self.shingles[item])
-                            if sim >= SIMILARITY and (item not in best or sim > best[item][0]):
-                                best[item] = sim, int(s)
-            for item, (sim, s) in sorted(best.items()):
-                yield slab.first + int(d), item, sim, s
+                own = grams[first[d] : first[d] + total]
+                count = np.zeros(total + 1, np.int64)
+                count[mine + 1] = 1
+                count = np.cumsum(count)
+                for n in self.by_size:
+                    size = min(n, total)
+                    need = self.need(size, n)
+                    if len(mine) < need:
+                        continue
+                    starts = np.flatnonzero(count[size:] - count[:-size] >= need)
+                    if len(starts):
+                        held.setdefault(n, []).append((slab.first + int(d), size, own, starts, fingerprints(own, starts, size)))
+                        n_held += len(starts)
+                if n_held > 65536:
+                    yield from self._verified(held)
+                    held, n_held = {}, 0
+        yield from self._verified(held)
+
+    def _verified(self, held: dict) -> Iterator[tuple[int, int, float, int]]:
+        best: dict[tuple[int, int], tuple[float, int]] = {}
+        for n, parts in held.items():
+            of, index = self.by_size[n]
+            ends = np.cumsum([len(p[3]) for p in parts])
+            q, k = index.within(np.concatenate([p[4] for p in parts]))
+            which = np.searchsorted(ends, q, "right")
+            for p, at, item in zip(which, q - np.concatenate(([0], ends))[which], k):
+                row, size, own, starts, _ = parts[p]
+                s, item = int(starts[at]), of[item]
+                sim = weighted_jaccard(own[s : s + size], self.shingles[item])
+                have = best.get((row, item))
+                if sim >= SIMILARITY and (have is None or sim > have[0] or sim == have[0] and s < have[1]):
+                    best[row, item] = sim, s
+        for (row, item), (sim, s) in sorted(best.items()):
+            yield row, item, sim, s
 
 
 def blocks_of(benchmark: DataFrame) -> Iterator[Items]:
@@ -228,7 +252,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def scan(items: Items):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [x for slab in slabs(batch.column(1)) for x in items.leaks(slab)]
+                found = list(items.leaks(slabs(batch.column(1))))
                 rows = pa.array([r for r, *_ in found], pa.int64())
                 cols = [batch.column(0).take(rows), pa.array([items.ids[i] for _, i, *_ in found], item_type), pa.array([round(s, 6) for *_, s, _ in found], pa.float64()), pa.array([w for *_, w in found], pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, schema.names)
@@ -249,9 +273,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                for slab in slabs(batch.column(names.index("text"))):
-                    for row, *_ in items.leaks(slab):
-                        keep[row] = False
+                for row, *_ in items.leaks(slabs(batch.column(names.index("text")))):
+                    keep[row] = False
                 yield batch.filter(pa.array(keep))
 
         return run
