@@ -250,3 +250,13 @@ def test_inputs_and_column_sizes(spark, uri):
     t = Table.write(spark.range(1000).selectExpr("id", "md5(string(id)) AS m").repartition(3), uri)
     sizes = t.column_bytes()
     assert set(sizes) == {"id", "m"} and sizes["m"] > sizes["id"] > 0
+
+
+def test_tasks_that_write_several_files_write_one_fragment(spark, uri):
+    t = Table.write(spark.range(1000).repartition(2), uri, max_rows_per_file=100)
+    assert len({f["id"] for f in t.snapshot.fragments}) == len(t.snapshot.fragments) == 2
+    mutate.delete(t, "id % 3 = 0")
+    before = t.scan().agg(F.count("id"), F.sum(ROWID)).first()
+    maintain.compact(t, target_rows=150)
+    t.validate()
+    assert t.scan().agg(F.count("id"), F.sum(ROWID)).first() == before and t.count_rows() == 666
