@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.table import OFFSET, ROWID, Table
+from ..sources.table import OFFSET, ROWID, Table, numbered
 
 
 def sample(table: Table, n: int, seed: int = 0, columns=None) -> DataFrame:
@@ -40,12 +40,7 @@ def sharded_batches(table: Table, batch: int, rank: int, world: int, seed: int |
     """Batches of consecutive rows, dealt round-robin: `_batch` numbers them. A seed shuffles the batches, another way each epoch. Every row goes to one rank."""
     df = table.with_offsets()
     if where is not None:
-        df = df.filter(where)
-        part = F.shiftright(ROWID, 32)
-        sizes = df.groupBy(part.alias("_f")).count()
-        before = sizes.select("_f", F.coalesce(F.sum("count").over(Window.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-        place = F.row_number().over(Window.partitionBy("_f").orderBy(ROWID)) - 1
-        df = df.withColumn("_f", part).withColumn("_p", place).join(before, "_f").withColumn(OFFSET, F.col("_b") + F.col("_p")).drop("_f", "_p", "_b")
+        df = numbered(df.filter(where))
     df = df.withColumn("_batch", F.floor(F.col(OFFSET) / batch))
     deal = F.col("_batch") if seed is None else F.xxhash64("_batch", F.lit(seed), F.lit(epoch))
     return df.filter(F.pmod(deal, F.lit(world)) == rank)

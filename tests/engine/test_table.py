@@ -260,3 +260,33 @@ def test_tasks_that_write_several_files_write_one_fragment(spark, uri):
     maintain.compact(t, target_rows=150)
     t.validate()
     assert t.scan().agg(F.count("id"), F.sum(ROWID)).first() == before and t.count_rows() == 666
+
+
+def test_offsets_of_rows_in_order_need_no_single_task(spark, uri):
+    from loomwright.sources.table import OFFSET
+
+    t = Table.write(spark.range(1000).orderBy("id"), uri)
+    t.append(spark.range(1000, 1500).orderBy("id"))
+    plan = t.with_offsets()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+    assert t.with_offsets().filter(F.col(OFFSET) != F.col("id")).count() == 0 and t.with_offsets().count() == 1500
+    mutate.delete(t, "id % 7 = 0 OR id < 300")
+    want = {x: i for i, x in enumerate(x for x in range(300, 1500) if x % 7)}
+    assert {r["id"]: r[OFFSET] for r in t.with_offsets().collect()} == want
+    maintain.compact(t)
+    assert {r["id"]: r[OFFSET] for r in t.with_offsets().collect()} == want
+    dealt = [sampling.sharded_batches(t, 16, rank, 3, where="id % 2 = 0").select("id", "_batch").collect() for rank in range(3)]
+    order = sorted(x for x in want if x % 2 == 0)
+    assert {r["id"]: r["_batch"] for part in dealt for r in part} == {x: i // 16 for i, x in enumerate(order)}
+
+
+def test_ordered_tables_are_not_sorted_by_one_task(spark, sf):
+    import inspect
+
+    from loomwright.plans import engineq
+
+    for name in ("zone_stats", "sharded_batches_in_order", "fts_with_filter", "take_offsets"):
+        assert "coalesce(1)" not in inspect.getsource(getattr(engineq, name)), name
+    ranks = engineq.sharded_batches_in_order(spark, sf).collect()
+    keys = sorted(r["o_orderkey"] for r in ranks)
+    assert {r["o_orderkey"]: r["rank"] for r in ranks} == {k: i // 16 % 3 for i, k in enumerate(keys)}
